@@ -6,9 +6,9 @@ neighbours are compared in full: a window whose partition is the whole text walk
 group wherever the text differs from the row before. Only bounded keys are sampled to the driver.
 
 Large groups: the `heavy` most frequent text hashes are known beforehand from a map-side combined count over all rows,
-and rows of such a text get a salt, so their group lies in many partitions. Each (text, salt) chunk keeps its smallest
-identifier; the chunks of one text, one row each, are then merged. A text outside the list has at most rows/heavy
-copies. The list's length is bounded, whatever the input.
+and rows of such a text get a salt from their identifier, so their group lies in many partitions as `SALTS` chunks. The
+smallest identifier and the size of such a text, combined before the shuffle and compared in full, come from the list's
+bounded number of texts and are handed to the chunks. A text outside the list has at most rows/heavy copies.
 
 Defined cases: a null text counts as empty; null identifiers come after all others, and a group of only such rows has a
 null keep_id and keeps one row; of rows that repeat an identifier and a text exactly one is kept; an empty table gives
@@ -20,15 +20,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import SPACE, Stages, col, fresh, partitions, table
+from netloom.llm.common import Stages, col, fresh, table
 
 PREFIX = 32
-HEAVY = 4000
+HEAVY = 1000
 HEAVY_LEAST = 64
+SALTS = 256
 
 
 def _normal(text):
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ")
+    """Each run of white space as one space; the regular expression runs only on texts that hold such a run."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    for c in "\t\n\v\f\r":
+        t = F.replace(t, F.lit(c), F.lit(" "))
+    return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
 
 
 def _heavy(df: DataFrame, text_col: str, limit: int, least: int) -> list[int]:
@@ -38,40 +43,30 @@ def _heavy(df: DataFrame, text_col: str, limit: int, least: int) -> list[int]:
 
 def _decided(df: DataFrame, id_col: str, text_col: str, limit: int, least: int, name: str) -> tuple[DataFrame, dict[str, str]]:
     """df's rows and columns, with the decision columns named by the returned map."""
-    spark = df.sparkSession
-    names = ["x_prefix", "x_hash", "x_salt", "x_text", "x_first", "x_n", "x_rank", "x_sha", "x_kept"]
+    names = ["x_prefix", "x_hash", "x_salt", "x_text", "x_first", "x_n", "x_rank", "x_sha", "x_kept", "m_sha", "m_first", "m_n"]
     n = dict(zip(names, fresh(df, *names), strict=True))
     heavy = _heavy(df, text_col, limit, least)
     norm = _normal(col(text_col))
-    keyed = df.withColumns({n["x_prefix"]: F.substring(norm, 1, PREFIX), n["x_hash"]: F.xxhash64(norm)})
-    salt = F.pmod(F.xxhash64(col(id_col)), F.lit(max(16, partitions(spark))))
-    is_heavy = F.col(n["x_hash"]).isin(heavy) if heavy else F.lit(False)
     keys = [n["x_prefix"], n["x_hash"]]
-
-    def neighbours(rows: DataFrame, *keys: str) -> DataFrame:
-        ordered = Window.partitionBy(*keys, n["x_text"]).orderBy(col(id_col).asc_nulls_last())
-        # the range exchange deals by the leading keys of the window, so the window needs no exchange of its own
-        placed = rows.repartitionByRange(*keys).withColumn(n["x_text"], _normal(col(text_col)))
-        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = placed.withColumns({n["x_rank"]: F.row_number().over(ordered), n["x_first"]: F.min(col(id_col)).over(whole), n["x_n"]: F.count(F.lit(1)).over(whole)})
-        return out.withColumn(n["x_sha"], F.sha2(F.encode(F.col(n["x_text"]), "UTF-8"), 256))
-
-    out = [*df.columns, n["x_first"], n["x_n"], n["x_sha"], n["x_kept"]]
-    light = neighbours(keyed.where(~is_heavy) if heavy else keyed, *keys).withColumn(n["x_kept"], F.col(n["x_rank"]) == 1)
+    rows = df.withColumns({n["x_prefix"]: F.substring(norm, 1, PREFIX), n["x_hash"]: F.xxhash64(norm)})
+    if heavy:
+        rows = rows.withColumn(n["x_salt"], F.when(F.col(n["x_hash"]).isin(heavy), F.pmod(F.xxhash64(col(id_col)), F.lit(SALTS))).otherwise(F.lit(-1)))
+        keys.append(n["x_salt"])
+    # the range exchange deals by the leading keys of the window, so the window needs no exchange of its own
+    rows = rows.repartitionByRange(*keys).withColumn(n["x_text"], norm)
+    ordered = Window.partitionBy(*keys, n["x_text"]).orderBy(col(id_col).asc_nulls_last())
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({n["x_rank"]: F.row_number().over(ordered), n["x_first"]: F.min(col(id_col)).over(whole), n["x_n"]: F.count(F.lit(1)).over(whole)})
+    rows = rows.withColumn(n["x_sha"], F.sha2(F.encode(F.col(n["x_text"]), "UTF-8"), 256))
     if not heavy:
-        return light.select(*map(col, out)), n
-    stages = Stages(spark, name)
-    salted, keys = keyed.where(is_heavy).withColumn(n["x_salt"], salt), [*keys, n["x_salt"]]
-    chunks = neighbours(salted.select(col(id_col), col(text_col), *keys), *keys).where(F.col(n["x_rank"]) == 1)
-    best = F.struct(F.isnull("first").alias("none"), F.col("first"), F.col("salt"))
-    chunks = chunks.select(F.col(n["x_text"]).alias("text"), F.col(n["x_sha"]).alias("sha"), F.col(n["x_salt"]).alias("salt"), F.col(n["x_first"]).alias("first"), F.col(n["x_n"]).alias("n"))
-    merged = chunks.groupBy("text").agg(F.first("sha").alias("sha"), F.min(best).alias("best"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
-    merged = stages.keep(merged.select(F.col("sha").alias("m_sha"), F.col("best.first").alias("m_first"), F.col("best.salt").alias("m_best"), F.col("n").alias("m_n"), F.explode("salts").alias("m_salt")))
-    m = dict(zip(merged.columns, fresh(df.select("*", *[F.lit(0).alias(v) for v in n.values()]), *merged.columns), strict=True))
-    merged = merged.toDF(*m.values())
-    many = neighbours(salted, *keys).join(merged, (F.col(n["x_sha"]) == F.col(m["m_sha"])) & (F.col(n["x_salt"]) == F.col(m["m_salt"])))
-    many = many.withColumn(n["x_kept"], (F.col(n["x_rank"]) == 1) & (F.col(m["m_best"]) == F.col(n["x_salt"]))).withColumns({n["x_first"]: F.col(m["m_first"]), n["x_n"]: F.col(m["m_n"])})
-    return light.select(*map(col, out)).unionByName(many.select(*map(col, out))), n
+        return rows.withColumn(n["x_kept"], F.col(n["x_rank"]) == 1), n
+    # the chunks of one text: combined before the shuffle, and at most `limit` rows of fixed size, unless hashes collide
+    texts = df.select(col(id_col).alias("id"), norm.alias("text")).where(F.xxhash64("text").isin(heavy)).groupBy("text").agg(F.min("id").alias(n["m_first"]), F.count("*").alias(n["m_n"]))
+    merged = Stages(df.sparkSession, name).keep(texts.select(F.sha2(F.encode("text", "UTF-8"), 256).alias(n["m_sha"]), n["m_first"], n["m_n"]))
+    rows = rows.join(F.broadcast(merged), F.when(F.col(n["x_salt"]) >= 0, F.col(n["x_sha"])) == F.col(n["m_sha"]), "left")
+    chunked = F.isnotnull(n["m_sha"])
+    kept = (F.col(n["x_rank"]) == 1) & (~chunked | F.col(n["x_first"]).eqNullSafe(F.col(n["m_first"])))
+    return rows.withColumn(n["x_kept"], kept).withColumns({n["x_first"]: F.when(chunked, F.col(n["m_first"])).otherwise(F.col(n["x_first"])), n["x_n"]: F.coalesce(n["m_n"], n["x_n"])}), n
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, heavy_least: int = HEAVY_LEAST) -> DataFrame:
