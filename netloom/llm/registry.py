@@ -1,13 +1,15 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from netloom.llm import op01_simhash, op02_decontaminate, op03_exact_dedup, op05_packing, op08_toxicity
+from netloom.llm import op01_simhash, op02_decontaminate, op03_exact_dedup, op04_substring_dedup, op05_packing, op08_toxicity, op09_html_extract
 
 QUERIES = {
     "op1_simhash": op01_simhash.op1_simhash,
     "op2_decontaminate": op02_decontaminate.op2_decontaminate,
     "op3_exact_dedup": op03_exact_dedup.op3_exact_dedup,
+    "op4_substring_dedup": op04_substring_dedup.op4_substring_dedup,
     "op5_packing": op05_packing.op5_packing,
     "op8_toxicity": op08_toxicity.op8_toxicity,
+    "op9_html_extract": op09_html_extract.op9_html_extract,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": op03_exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op3_exact_dedup": op03_exact_dedup.ORACLE_SQL, "op4_substring_dedup": op04_substring_dedup.ORACLE_SQL}
