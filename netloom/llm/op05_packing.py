@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +45,11 @@ RANKS = "byte_bpe_50k.tiktoken"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*")
 
 
+@cache
+def tokens_of(path: str, ranks: str | None) -> Tokens:
+    return Tokens(path, ranks)
+
+
 class Tokens:
     """Ids as `tokenizers` gives them. The same vocabulary as ranks is quicker, and serves for texts of common characters."""
 
@@ -52,8 +58,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        special = [str(t) for t in self.slow.get_added_tokens_decoder().values()] if hasattr(self.slow, "get_added_tokens_decoder") else []
-        special = [t.content for t in self.slow.get_added_tokens_decoder().values()] if special else []
+        special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.fast = None
         if ranks:
@@ -71,7 +76,7 @@ def _pieces(path: str, ranks: str | None, text_at: int, width: int, grid: int):
     """Rows of other columns plus start, length, crc, tokens, block, bin, rank; bin 0: a full sequence."""
 
     def run(batches):
-        tokens = Tokens(path, ranks)
+        tokens = tokens_of(path, ranks)
         block, rank = uuid.uuid4().hex, Counter()
         for b in slices(batches):
             row, start, length, crc, total, bins, ranks_ = [], [], [], [], [], [], []
