@@ -4,12 +4,17 @@ Lines are the newline-separated parts of a text, without white space at their en
 different lines link at `MAX_EDITS` or fewer edits, if both have at least `LEAST` characters; shorter ones must be equal.
 A line stays where it occurs first, by (doc_id, text hash, line number), unless it links to a line that occurs earlier.
 
-Equal lines are combined before the shuffle, so a line that fills a third of the corpus is one row from then on. Each
-distinct line is cut into MAX_EDITS + 1 segments and indexed by (length, segment number, segment); it probes the index
-for each length up to MAX_EDITS shorter, with the substrings that can line up with a segment when the edits before and
-after it are shared out. One segment of any linked pair is unchanged, so all of them meet. Letter counts, a lower bound
-on edits, are compared within the join, so lines that only share a segment are not emitted. What is left is verified,
-between the common beginning and end, with a bit-parallel edit distance over a band of 2 x MAX_EDITS + 1 diagonals.
+Equal lines are told by a 128-bit hash and counted before the shuffle. Each line is cut into MAX_EDITS + 1 segments,
+placed by its length class: linked lines have a class in common, and one segment of them is unchanged and not moved by
+more than the edits beside it, so they share a key of (class, segment number, segment). Only keys and line hashes move;
+a key under which all lines are equal ends there. The texts of the lines that are left are fetched once. Their letter
+counts, a lower bound on edits, are compared within the join, so lines that only share a segment are not emitted. What
+is left is verified, between the common beginning and end, with a bit-parallel edit distance over a band of
+2 x MAX_EDITS + 1 diagonals.
+
+The `HEAVY` most frequent lines give their keys only where they occur first, so a line that fills a third of the corpus
+is no large group. Distinct lines that share a key are compared with one another, in a join whose large groups Spark
+splits: a family of G lines of nearly one length and letter count costs G x G comparisons, though not as many rows.
 
 Defined cases: a null or blank text has no lines; rows that repeat an identifier and a text are one document, and each
 gets its result; null identifiers come first; an empty table gives an empty result; other columns are not read.
@@ -17,51 +22,52 @@ gets its result; null identifiers come first; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import Stages, col, table
 
 MAX_EDITS = 2
 LEAST = 20
-LETTERS = "eniartsl"
-ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+HEAVY = 1000
+HEAVY_LEAST = 64
+ENDS = " \t\n\v\f\r"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _segment(length: str, i: int, k: int) -> tuple[str, str]:
-    return f"({i} * ({length}) div {k + 1})", f"({i + 1} * ({length}) div {k + 1})"
+def keys(k: int) -> str:
+    """SQL for a line's keys as structs (key, own): own ones say where a segment is, others where it may have moved to.
 
+    A class holds the lengths from `low`, the four leading bits of the length, to the next class; a line that is k
+    or fewer shorter than the next class is in that, too. Segments are measured by low - k, from the nearer end.
+    """
+    low = "shiftleft(shiftright(n, length(bin(n)) - 4), length(bin(n)) - 4)"
+    after = f"{low} + shiftleft(1, length(bin(n)) - 4)"
 
-def index_keys(k: int) -> str:
-    """SQL for the index keys of a line of n characters."""
-    keys = []
-    for i in range(k + 1):
-        a, b = _segment("n", i, k)
-        keys.append(f"xxhash64(n, {i}, substr(line, CAST({a} + 1 AS int), CAST({b} - {a} AS int)))")
-    return f"array({', '.join(keys)})"
-
-
-def probe_keys(k: int) -> str:
-    """SQL for the keys under which a line of n characters meets lines of n - k to n characters."""
-    keys = []
-    for less in range(k + 1):
+    def of(start: str) -> list[str]:
+        out = []
         for i in range(k + 1):
-            a, b = _segment(f"n - {less}", i, k)
-            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
-                keys.append(f"xxhash64(n - {less}, {i}, substr(line, CAST({a} + {shift} + 1 AS int), CAST({b} - {a} AS int)))")
-    return f"array({', '.join(keys)})"
+            a, b = f"CAST({i} * ({start} - {k}) div {k + 1} AS int)", f"CAST({i + 1} * ({start} - {k}) div {k + 1} AS int)"
+            left = i <= k // 2
+            reach = i if left else k - i
+            for move in range(-reach, reach + 1):
+                # from the right, segment i ends where it would if the line were low - k long
+                at = f"{a} + {move} + 1" if left else f"n - CAST({start} - {k} AS int) + {a} + {move} + 1"
+                out.append(f"named_struct('key', xxhash64({start}, {i}, substr(line, CAST({at} AS int), {b} - {a})), 'own', {int(move == 0)})")
+        return out
+
+    return f"concat(array({', '.join(of(low))}), if({after} - n <= {k}, array({', '.join(of(f'({after})'))}), array()))"
 
 
 def letter_counts() -> str:
-    """SQL for eight letters' counts, a byte each."""
-    return " | ".join(f"shiftleft(CAST((n - length(replace(line, '{c}', ''))) & 255 AS bigint), {8 * i})" for i, c in enumerate(LETTERS))
+    """SQL for how often each letter stands in a line, and its length, as an array."""
+    return f"array(n, {', '.join(f'n - length(replace(lower(line), {chr(39)}{c}{chr(39)}, {chr(39)}{chr(39)}))' for c in LETTERS)})"
 
 
-def counts_differ(a: str, b: str) -> str:
-    """SQL for a lower bound on twice the edits between lines with these packed counts."""
-    byte = "abs((shiftrightunsigned({a}, {s}) & 255) - (shiftrightunsigned({b}, {s}) & 255))"
-    each = [byte.format(a=a, b=b, s=8 * i) for i in range(len(LETTERS))]
-    return " + ".join(f"least({x}, 256 - {x})" for x in each)
+def counts_near(a: str, b: str, k: int) -> str:
+    """SQL for whether k edits can turn a line with counts a into one with counts b."""
+    total = " + ".join(f"abs({a}[{i}] - {b}[{i}])" for i in range(1, len(LETTERS) + 1))
+    return f"abs({a}[0] - {b}[0]) <= {k} AND {total} <= {2 * k}"
 
 
 def edits(a: str, b: str, k: int) -> str:
@@ -88,39 +94,57 @@ def edits(a: str, b: str, k: int) -> str:
     return let(value=f"named_struct('a', {a}, 'b', {b})", name="v", body=middle)
 
 
-def distinct_lines(rows: DataFrame, stages: Stages) -> DataFrame:
-    """rows: doc_id, h, text. Each distinct line with a number, its first occurrence, length and letter counts."""
-    lines = rows.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("doc_id", "h", "line_no", F.regexp_replace("raw", ENDS, "").alias("line")).where("line <> ''")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"))
-    first = first.select(F.monotonically_increasing_id().alias("uid"), "first", "line", F.length("line").alias("n"))
-    return stages.keep(first.select("*", F.expr(letter_counts()).alias("counts")))  # numbers are fixed by being written
-
-
-def linked_lines(lines: DataFrame, stages: Stages, k: int = MAX_EDITS, least: int = LEAST) -> DataFrame:
-    """uid_a, uid_b: every pair of distinct lines at k edits or fewer, with their first occurrences."""
-    some = lines.where(F.col("n") >= least)
-    index = some.select(F.col("uid").alias("i_uid"), F.col("n").alias("i_n"), F.col("counts").alias("i_counts"), F.explode(F.expr(index_keys(k))).alias("i_key"))
-    probe = some.select("uid", "n", "counts", F.explode(F.expr(probe_keys(k))).alias("key"))
-    meet = (F.col("key") == F.col("i_key")) & F.expr(f"(i_n < n OR i_uid < uid) AND {counts_differ('counts', 'i_counts')} <= {2 * k}")
-    pairs = stages.keep(probe.join(index, meet).select("uid", "i_uid").distinct())
-    text = lines.select(F.col("uid").alias("t_uid"), "first", "line")
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("uid").alias("own"), "uid", "i_uid"), F.struct(F.col("i_uid").alias("own"), "uid", "i_uid"))).alias("p")).select("p.*")
-    side = lambda c, own: F.max(F.when(F.col("own") == F.col(own), F.col(c)))
-    both = sides.join(text, F.col("own") == F.col("t_uid")).groupBy("uid", "i_uid").agg(side("line", "uid").alias("a"), side("line", "i_uid").alias("b"), side("first", "uid").alias("first_a"), side("first", "i_uid").alias("first_b"))
-    return both.where(F.expr(f"{edits('a', 'b', k)} <= {k}")).select(F.col("uid").alias("uid_a"), F.col("i_uid").alias("uid_b"), "first_a", "first_b")
+def occurrences(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, h, text. Each line that is not blank, with two hashes and its length."""
+    lines = rows.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select("doc_id", "h", "line_no", F.btrim("raw", F.lit(ENDS)).alias("line")).where("line <> ''")
+    return lines.select("*", F.xxhash64("line").alias("u"), F.xxhash64(F.lit(1), "line").alias("v"), F.length("line").alias("n"))
+
+
+def linked_lines(rows: DataFrame, first: DataFrame, stages: Stages, k: int = MAX_EDITS, least: int = LEAST, heavy: int = HEAVY, heavy_least: int = HEAVY_LEAST) -> DataFrame:
+    """Every pair of distinct lines at k edits or fewer: first_a, first_b, the struct of each one's first occurrence.
+
+    first: u, v, doc_id, h, line_no, times of distinct lines.
+    """
+    often = first.where(F.col("times") >= heavy_least).orderBy(F.desc("times"), "u", "v").limit(heavy)
+    often = stages.keep(often.select(F.col("u").alias("o_u"), F.col("v").alias("o_v"), F.struct("doc_id", "h", "line_no").alias("o_first")))
+    lines = occurrences(rows).where(F.col("n") >= least).join(F.broadcast(often), (F.col("u") == F.col("o_u")) & (F.col("v") == F.col("o_v")), "left")
+    lines = lines.where(F.col("o_u").isNull() | F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("o_first")))
+    keyed = lines.select("u", F.explode(F.expr(keys(k))).alias("x")).select("u", "x.key", "x.own")
+    of_key = Window.partitionBy("key")
+    shared = keyed.withColumns({"lo": F.min("u").over(of_key), "hi": F.max("u").over(of_key)}).where("lo <> hi")
+    shared = stages.keep(shared.select("key", "own", "u").distinct())
+    wanted = first.join(shared.select(F.col("u").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi")
+    per_doc = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_list(F.struct("line_no", "u", "v")).alias("lines"))
+    # the hint keeps the plan the same at every size
+    found = rows.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("doc_id", "h", F.split("text", "\n").alias("parts"), "lines").dropDuplicates(["doc_id", "h"])
+    found = found.select("doc_id", "h", "parts", F.explode("lines").alias("l")).select(F.struct("doc_id", "h", "l.line_no").alias("first"), "l.u", "l.v", F.btrim(F.get("parts", F.col("l.line_no")), F.lit(ENDS)).alias("line"))
+    found = stages.keep(found.withColumn("n", F.length("line")).where(F.col("n") >= least).select("first", "u", "v", "line", F.expr(letter_counts()).alias("counts")))
+    sides = stages.keep(shared.join(found.select(F.col("u").alias("f_u"), "v", "counts"), F.col("u") == F.col("f_u")).select("key", "own", "u", "v", "counts"))
+    own = sides.where("own = 1").select(F.col("key").alias("b_key"), F.col("u").alias("b_u"), F.col("v").alias("b_v"), F.col("counts").alias("b_counts"))
+    near = F.expr(f"(own = 0 OR (u, v) < (b_u, b_v)) AND (u, v) <> (b_u, b_v) AND {counts_near('counts', 'b_counts', k)}")
+    pairs = sides.join(own, (F.col("key") == F.col("b_key")) & near).select("u", "v", "b_u", "b_v").distinct()
+    text = found.select(F.col("u").alias("t_u"), F.col("v").alias("t_v"), "first", "line")
+    for s, u, v in (("a", "u", "v"), ("b", "b_u", "b_v")):
+        pairs = pairs.join(text.withColumnsRenamed({"first": f"first_{s}", "line": f"line_{s}"}), (F.col(u) == F.col("t_u")) & (F.col(v) == F.col("t_v"))).drop("t_u", "t_v")
+    return pairs.where(F.expr(f"{edits('line_a', 'line_b', k)} <= {k}")).select("first_a", "first_b")
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = MAX_EDITS, least: int = LEAST) -> DataFrame:
-    """One row for each input row: doc_id, n_lines, n_kept, n_near (lines that go for a linked one), kept_lines (numbers)."""
+    """One row for each input row: doc_id, n_lines, n_kept, n_near (lines that go for a linked one), kept_lines (numbers).
+    k is 1 or 2, least 16 or more."""
+    if k not in (1, 2) or least < 16:
+        raise ValueError("k is 1 or 2, and least 16 or more")
     stages = Stages(df.sparkSession, "lines")
     rows = df.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("h"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = distinct_lines(rows, stages)
-    links = linked_lines(lines, stages, k, least)
-    later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("uid_a")).otherwise(F.col("uid_b")).alias("gone")).distinct()
-    judged = lines.select("uid", "first").join(later, F.col("uid") == F.col("gone"), "left")
-    at = F.when(F.col("gone").isNull(), F.col("first.line_no") + 1)
-    per_doc = judged.groupBy(F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h")).agg(F.array_sort(F.collect_list(at)).alias("kept"), F.count("gone").alias("near"))
-    n_lines = F.expr(f"size(filter(split(text, '\\n'), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'))").cast("long")
+    at = F.struct("doc_id", "h", "line_no")
+    first = occurrences(rows).select("u", "v", "doc_id", "h", "line_no").groupBy("u", "v").agg(F.min(at).alias("at"), F.count("*").alias("times"))
+    first = stages.keep(first.select("u", "v", "at.*", "times"))
+    links = linked_lines(rows, first, stages, k, least)
+    later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("first_a")).otherwise(F.col("first_b")).alias("gone")).distinct()
+    judged = first.select("doc_id", "h", "line_no").join(later, at.eqNullSafe(F.col("gone")), "left")
+    kept_at = F.when(F.col("gone").isNull(), F.col("line_no") + 1)
+    per_doc = judged.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.array_sort(F.collect_list(kept_at)).alias("kept"), F.count("gone").alias("near"))
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(ENDS)) != "")).cast("long")
     docs = rows.select("doc_id", "h", n_lines.alias("n_lines"))
     out = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")), "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
