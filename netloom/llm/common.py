@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from netloom.session import ship
 
@@ -69,8 +70,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def filter_rows(df: DataFrame, run) -> DataFrame:
+    """df.mapInArrow(run) for a run that keeps the columns, whatever their names are."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, df.schema.fields, strict=True)])
+    return df.toDF(*names).mapInArrow(run, schema).toDF(*df.columns)
 
 
 def slices(batches, rows: int = 256):

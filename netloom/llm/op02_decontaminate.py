@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Stages, col, slices, table
+from netloom.llm.common import Stages, col, filter_rows, slices, table
 
 PER_ERROR = 20
 BLOCK_CHARS = 2_000_000
@@ -35,7 +35,7 @@ def normal(text: str | None) -> str:
 def distance(masks: dict[str, int], n: int, text: str, most: int) -> int:
     """The least edit distance between the pattern of n characters and any part of text; most + 1 if above most."""
     full, top = (1 << n) - 1, 1 << (n - 1)
-    pv, mv, now, best = full, 0, n, most + 1
+    pv, mv, now, best = full, 0, n, min(n, most + 1)
     for c in text:
         eq = masks.get(c, 0)
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -152,7 +152,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         return run
 
     for block in blocks(items, item_id, item_text, block_chars):
-        docs = docs.mapInArrow(only(block), docs.schema)
+        docs = filter_rows(docs, only(block))
     return docs
 
 

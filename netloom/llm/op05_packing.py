@@ -229,7 +229,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     stages = Stages(spark, "packing")
     if path is None:
         path, ranks = public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
-    rows = docs.select(col(id_col).alias("doc_id"), *[col(c) for c in carry], col(text_col).cast("string").alias("text"))
+    held = [f"carry{i}" for i in range(len(carry))]
+    rows = docs.select(col(id_col).alias("doc_id"), *[col(c).alias(h) for c, h in zip(carry, held, strict=True)], col(text_col).cast("string").alias("text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     schema = f"{head}, start long, length long, crc long, tokens long, block string, bin int, rank long"
     pieces = stages.keep(rows.mapInArrow(_pieces(path, ranks, len(rows.columns) - 1, width, grid), schema))
@@ -244,7 +245,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     placed = ranked.join(F.broadcast(slots), (F.col("bin") == F.col("s_bin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumns({"sequence_id": F.expr("first + (rank - low) div each"), "place": F.expr("slot + (rank - low) % each")})
     earlier = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("doc_id", *carry, "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"))
+    return placed.select("doc_id", *[F.col(h).alias(c) for c, h in zip(carry, held, strict=True)], "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"))
 
 
 def op5_packing(spark, sf_dir):

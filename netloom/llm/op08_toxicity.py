@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Stages, col, slices, table
+from netloom.llm.common import Stages, col, filter_rows, slices, table
 
 MAX_TRAIN = 12_000
 FOLDS = 5
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows that the model does not reject, all columns, in one pass over the rows."""
     model = train(docs, labels, id_col, text_col)
-    at, schema = docs.columns.index(text_col), docs.schema
+    at = docs.columns.index(text_col)
 
     def run(batches):
         words = Words(model["lexicon"])
@@ -256,7 +256,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             x = np.array([features(t or "", words) for t in b.column(at).to_pylist()]).reshape(b.num_rows, -1)
             yield b.filter(pa.array(probabilities(model, x) < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return filter_rows(docs, run)
 
 
 def op8_toxicity(spark, sf_dir):
