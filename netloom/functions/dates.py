@@ -29,6 +29,15 @@ def snapshot_path(date: Column) -> Column:
     return F.concat(F.date_format(date, "yyyy.MM'/RIBS/'"), snapshot_file(date))
 
 
+#: Fixed value: the public archive that daily table dumps come from.
+ARCHIVE = "https://archive.routeviews.org/hkix.hkg/bgpdata"
+
+
+def snapshot_url(date: Column, archive: str = ARCHIVE) -> Column:
+    """Where the dump of a date is; fetching it is left to the caller."""
+    return F.concat(F.lit(archive + "/"), snapshot_path(date))
+
+
 def local_id(observed: Column) -> Column:
     return F.concat(F.lit("local-"), F.unix_timestamp(observed).cast("string"))
 

@@ -74,5 +74,18 @@ def tile_scene(nodes: DataFrame, links: DataFrame, tile: str) -> tuple[DataFrame
     return own, near
 
 
+def names_of(paths: DataFrame, names: DataFrame, column: str = "path") -> DataFrame:
+    """asn, name, organization of every number in the paths; with the bucket in the join, a table that is partitioned
+    by it is read only where needed."""
+    asked = paths.select(F.explode(column).alias("asn")).distinct().withColumn("bucket", bucket(F.col("asn")))
+    keys = ["asn", "bucket"] if "bucket" in names.columns else ["asn"]
+    return asked.join(names, keys, "left").select("asn", "name", "organization")
+
+
+def page(rows: DataFrame, order: list, start: int = 0, size: int = 60) -> DataFrame:
+    """A page of a list: a report of `size` rows."""
+    return rows.orderBy(*order).offset(start).limit(size)
+
+
 def relation_label(role: Column) -> Column:
     return F.when(role == "peer", "peer network").when(role == "provider", "upstream network").when(role == "customer", "downstream network").otherwise("AS relationship")

@@ -79,6 +79,18 @@ def external_neighbours(adj: DataFrame, membership: DataFrame) -> DataFrame:
     return j.groupBy("grp").agg(F.countDistinct("nbr").alias("n"))
 
 
+def external_organization_neighbours(adj: DataFrame, org_of: DataFrame) -> DataFrame:
+    """org_id, nbr: neighbours of an organization's networks that belong to another."""
+    o = org_of.select("asn", "org_id")
+    return adj.join(o, "asn").join(o.toDF("nbr", "nbr_org"), "nbr").where("org_id <> nbr_org").select("org_id", "nbr").distinct()
+
+
+def distance_histogram(distances: DataFrame) -> DataFrame:
+    """grp, distances: how many members are at each distance, as a map."""
+    counts = distances.groupBy("grp", "distance").agg(F.count("*").alias("n"))
+    return counts.groupBy("grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("distance", "n")))).alias("distances"))
+
+
 def seeds(membership: DataFrame, degree: DataFrame) -> DataFrame:
     """grp, seed: the member of the highest degree, of equals the lowest number."""
     return membership.join(degree, "asn").groupBy("grp").agg(F.max_by("asn", F.struct("degree", -F.col("asn"))).alias("seed"))

@@ -342,6 +342,33 @@ def q28_labels(spark, sf_dir):
     return graph.propagate_communities(topo.adjacency(e).select("asn").distinct(), e)
 
 
+def topology_build(spark, sf_dir):
+    from netloom.plans.build import build_topology
+
+    m = views.membership(spark, sf_dir)
+    return build_topology(views.edge_rows(spark, sf_dir), m, views.as_info(spark, sf_dir), views.organizations(spark, sf_dir))
+
+
+@query("q30_tile_documents")
+def q30(spark, sf_dir):
+    return topology_build(spark, sf_dir)["tile"]
+
+
+@query("q30_overview_document")
+def q30_overview(spark, sf_dir):
+    return topology_build(spark, sf_dir)["overview"]
+
+
+@query("q31_distance_maps")
+def q31(spark, sf_dir):
+    return topo.distance_histogram(distances(spark, sf_dir)).select("grp", F.to_json("distances").alias("distances"))
+
+
+@query("q32_organization_neighbours", f"WITH {EDGES}, {ORGS} SELECT DISTINCT x.org_id, nbr FROM adj JOIN info x ON adj.asn = x.asn JOIN info y ON nbr = y.asn WHERE x.org_id <> y.org_id")
+def q32(spark, sf_dir):
+    return topo.external_organization_neighbours(topo.adjacency(views.edges(spark, sf_dir)), views.as_info(spark, sf_dir))
+
+
 def sample_dump() -> bytes:
     """A small table dump with the sessions, encodings and edge cases that matter."""
     rec = lambda sub, body: struct.pack(">IHHI", 1790467200, 13, sub, len(body)) + body

@@ -48,6 +48,12 @@ class Engine:
     def cancel(self) -> None:
         self.spark.interruptTag(TAG)
 
+    def progress(self) -> list[tuple[int, int, int]]:
+        """(stage, tasks done, tasks) of what runs now."""
+        t = self.spark.sparkContext.statusTracker()
+        stages = [s for i in t.getActiveStageIds() if (s := t.getStageInfo(i))]
+        return [(s.stageId, s.numCompletedTasks, s.numTasks) for s in stages]
+
     def metadata(self) -> DataFrame:
         """A row per session with routes: families, prefix counts, whether it is the default."""
         routes, peers = self.store.table("routes"), self.store.table("peers")

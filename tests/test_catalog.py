@@ -14,6 +14,35 @@ def test_query_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
+def test_topology_build(spark, sf, tmp_path):
+    """The documents agree with one another, as the explorer needs."""
+    import json
+    import math
+    from collections import Counter
+
+    from netloom.plans.build import write_topology
+    from netloom.sources.topology import read_asset
+
+    built = catalog.topology_build(spark, sf)
+    load = lambda name: {r.key: json.loads(r.json) for r in built[name].collect()}
+    tiles, groups, root, overview = load("tile"), load("group"), load("root")["root"], load("overview")["overview"]
+    index = {r.asn: r for r in built["index"].collect()}
+    edges = built["edges"].collect()
+    external = Counter(t for e in edges if index[e.a].tile != index[e.b].tile for t in (index[e.a].tile, index[e.b].tile))
+    for k, t in tiles.items():
+        assert t["count"] == len(t["nodes"]) <= 240 and sum(n["degree"] for n in t["nodes"]) >= 2 * len(t["links"]) + t["externalLinkCount"]
+        assert [(-n["degree"], n["asn"]) for n in t["nodes"]] == sorted((-n["degree"], n["asn"]) for n in t["nodes"]) and t["seedAsn"] == t["nodes"][0]["asn"]
+        assert t["externalLinkCount"] == external[k] and all(-1 <= n["x"] <= 1 and -1 <= n["y"] <= 1 for n in t["nodes"]) and t["parent"] == k[:3]
+    for k, g in groups.items():
+        assert [c["id"] for c in g["children"]] == [f"{k}-c{i + 1:03d}" for i in range(math.ceil(g["count"] / 240))] and sum(c["count"] for c in g["children"]) == g["count"]
+    assert [(x["source"], x["target"], x["count"]) for x in root["links"]] == [(x["source"], x["target"], x["count"]) for x in overview["links"]]
+    assert all(x["count"] == x["peerCount"] + x["providerCustomerCount"] for x in overview["links"])
+    assert int(overview["meta"]["totalLinks"]) == len(edges) and int(overview["meta"]["totalAS"]) == len(index) == sum(g["asnCount"] for g in overview["groups"])
+    assert built["manifest"].first().sound
+    write_topology({k: built[k] for k in ("overview", "adjacency", "names", "index")}, str(tmp_path))
+    assert read_asset(spark, "overview", str(tmp_path / "overview" / "key=overview")).first().groups[0].id == "g01"
+
+
 def test_entry_without_optional_part():
     """The entry module imports and lists its own queries even where the optional subpackage is gone."""
     import subprocess

@@ -62,4 +62,5 @@ def test_dates(spark):
     assert [r.d for r in days.collect()] == [date(2026, 9, 27)] + [None] * 5
     r = days.limit(1).select(dates.snapshot_id(F.col("d")), dates.snapshot_file(F.col("d")), dates.snapshot_path(F.col("d"))).first()
     assert tuple(r) == ("20260927T000000Z", "rib.20260927.0000.bz2", "2026.09/RIBS/rib.20260927.0000.bz2")
+    assert days.limit(1).select(dates.snapshot_url(F.col("d"))).first()[0].endswith("/bgpdata/2026.09/RIBS/rib.20260927.0000.bz2")
     assert spark.range(1).select(dates.default_date(F.lit("2026-03-01 00:01:00").cast("timestamp"))).first()[0] == date(2026, 2, 28)
