@@ -1,48 +1,41 @@
 """Graph operators: breadth-first order and distances, components, communities.
 
-Loops are level by level over DataFrames; each round is written to the session's checkpoint folder, which cuts lineage
-and survives lost executors. Only counts reach the driver, and for community merging one row per community pair.
+Loops are level by level over DataFrames; each round is written to the shared folder, which cuts lineage and
+survives lost executors. Only counts reach the driver, and for community merging one row per community pair.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUNDS = 200
-
+from netloom.session import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="netloom-"))
-    return df.checkpoint(eager=True)
+ROUNDS = 200
 
 
 def distances(starts: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """grp, asn, distance from the group's start along edges within the group. starts: grp, asn; adj: grp, asn, nbr."""
-    found = _cut(starts.select("grp", "asn", F.lit(0).alias("distance")))
+    found = cut(starts.select("grp", "asn", F.lit(0).alias("distance")))
     front = found
     for d in range(1, rounds):
         new = front.join(adj, ["grp", "asn"]).select("grp", F.col("nbr").alias("asn")).distinct().join(found, ["grp", "asn"], "left_anti")
-        front = _cut(new.withColumn("distance", F.lit(d)))
+        front = cut(new.withColumn("distance", F.lit(d)))
         if front.isEmpty():
             return found
-        found = _cut(found.unionByName(front))
+        found = cut(found.unionByName(front))
     raise RuntimeError(f"distances did not end in {rounds} rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """asn, component: the smallest number reachable. Labels spread to neighbours and jump to their label's label."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(nodes.select("asn", F.col("asn").alias("component")).distinct())
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(nodes.select("asn", F.col("asn").alias("component")).distinct())
     for _ in range(rounds):
         near = both.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("asn")).agg(F.min("near").alias("near"))
         spread = labels.join(near, "asn", "left").select("asn", F.least("component", F.coalesce("near", "component")).alias("label"))
         jump = spread.select(F.col("asn").alias("label"), F.col("label").alias("further"))
-        new = _cut(spread.join(jump, "label", "left").select("asn", F.least("label", F.coalesce("further", "label")).alias("component")))
+        new = cut(spread.join(jump, "label", "left").select("asn", F.least("label", F.coalesce("further", "label")).alias("component")))
         moved = new.join(labels.toDF("asn", "old"), "asn").where("component <> old").isEmpty()
         labels = new
         if moved:
@@ -57,23 +50,23 @@ def breadth_first(nodes: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> Dat
     nodes: grp, asn, degree; adj: grp, asn, nbr within groups. The queue's order is by component, level, the earliest
     parent's place, then (-degree, asn): each level is one join and one window within groups.
     """
-    nodes = _cut(nodes.select("grp", "asn", "degree"))
-    adj = _cut(adj.select("grp", "asn", "nbr").distinct())
+    nodes = cut(nodes.select("grp", "asn", "degree"))
+    adj = cut(adj.select("grp", "asn", "nbr").distinct())
     comp = components(nodes, adj.select(F.col("asn").alias("a"), F.col("nbr").alias("b")), rounds)
-    nodes = _cut(nodes.join(comp, "asn"))
+    nodes = cut(nodes.join(comp, "asn"))
     best = nodes.groupBy("grp", "component").agg(F.max_by(F.struct("asn", "degree"), F.struct("degree", -F.col("asn"))).alias("seed"))
     order = Window.partitionBy("grp").orderBy(F.desc("seed.degree"), "seed.asn")
-    ranked = _cut(best.select("grp", "component", "seed.asn", F.row_number().over(order).alias("rank")))
-    found = _cut(ranked.select("grp", "component", "asn", F.lit(0).alias("level"), F.lit(1).alias("place")))
+    ranked = cut(best.select("grp", "component", "seed.asn", F.row_number().over(order).alias("rank")))
+    found = cut(ranked.select("grp", "component", "asn", F.lit(0).alias("level"), F.lit(1).alias("place")))
     front = found
     for level in range(1, rounds):
         reached = front.join(adj, ["grp", "asn"]).groupBy("grp", "component", F.col("nbr").alias("asn")).agg(F.min("place").alias("parent"))
         new = reached.join(found, ["grp", "asn"], "left_anti").join(nodes.select("grp", "asn", "degree"), ["grp", "asn"])
         turn = Window.partitionBy("grp", "component").orderBy("parent", F.desc("degree"), "asn")
-        front = _cut(new.select("grp", "component", "asn", F.lit(level).alias("level"), F.row_number().over(turn).alias("place")))
+        front = cut(new.select("grp", "component", "asn", F.lit(level).alias("level"), F.row_number().over(turn).alias("place")))
         if front.isEmpty():
             break
-        found = _cut(found.unionByName(front))
+        found = cut(found.unionByName(front))
     else:
         raise RuntimeError(f"the search did not end in {rounds} rounds")
     whole = Window.partitionBy("grp").orderBy("rank", "level", "place")
@@ -135,14 +128,14 @@ def merge_communities(edges: DataFrame, membership: DataFrame, most: int = 20) -
 def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """asn, grp by deterministic label propagation: each node takes its neighbours' most frequent label, of equals the
     smallest, on alternate halves of the nodes so that labels settle. Its quality is judged by modularity."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(nodes.select("asn", F.col("asn").alias("grp")).distinct())
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(nodes.select("asn", F.col("asn").alias("grp")).distinct())
     still = 0
     for turn in range(rounds):
         votes = both.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("asn"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("asn").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
         moves = F.pmod(F.xxhash64("asn"), F.lit(2)) == turn % 2
-        new = _cut(labels.join(best, "asn", "left").select("asn", F.when(moves, F.coalesce("label", "grp")).otherwise(F.col("grp")).alias("grp")))
+        new = cut(labels.join(best, "asn", "left").select("asn", F.when(moves, F.coalesce("label", "grp")).otherwise(F.col("grp")).alias("grp")))
         still = still + 1 if new.join(labels.toDF("asn", "old"), "asn").where("grp <> old").isEmpty() else 0
         labels = new
         if still == 2:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.operators import graph, layout
 from netloom.operators import topology as topo
 from netloom.plans import publish
+from netloom.session import cut
 
 
 def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs: DataFrame, target: int = topo.TILE) -> dict[str, DataFrame]:
@@ -15,13 +16,13 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
 
     rows: a, b, rel, line_no; membership: asn, grp (g01 …); info: asn, name, org_id; orgs: org_id, name, country.
     """
-    edges = graph._cut(topo.known_edges(topo.first_edges(rows), membership))
+    edges = cut(topo.known_edges(topo.first_edges(rows), membership))
     adj = topo.adjacency(edges)
-    degree = graph._cut(membership.select("asn").distinct().join(topo.degrees(adj), "asn", "left").select("asn", F.coalesce("degree", F.lit(0)).alias("degree")))
+    degree = cut(membership.select("asn").distinct().join(topo.degrees(adj), "asn", "left").select("asn", F.coalesce("degree", F.lit(0)).alias("degree")))
     inner = topo.with_groups(edges, membership).where("ga = gb")
     nodes = membership.join(degree, "asn").select("grp", "asn", "degree")
     order = graph.breadth_first(nodes, topo.adjacency(inner.select("a", "b", "rel")).join(membership, "asn").select("grp", "asn", "nbr"))
-    tiles = graph._cut(topo.tiles(order, target))
+    tiles = cut(topo.tiles(order, target))
     index = tiles.join(degree, "asn").join(info.select("asn", "name"), "asn", "left").select("asn", "grp", "tile", F.coalesce("name", F.concat(F.lit("AS"), F.col("asn"))).alias("name"), "degree")
     tile_of = tiles.select("asn", F.col("tile").alias("grp"))
     placed = topo.with_groups(edges, tile_of)
@@ -39,7 +40,7 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
     nodes_of = tile_nodes.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "v"))), lambda e: e["v"]).alias("nodes"))
     links_of = within.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), "relationship"))).alias("links"))
     parts = graph.components(tiles.select("asn"), within.select("a", "b")).join(tiles, "asn").groupBy("tile").agg(F.countDistinct("component").alias("connectedComponents"))
-    heads = graph._cut(labelled(tile_of)).withColumnRenamed("grp", "tile")
+    heads = cut(labelled(tile_of)).withColumnRenamed("grp", "tile")
     external = topo.external_links(placed).withColumnRenamed("grp", "tile")
     none = F.array().cast("array<struct<source:bigint,target:bigint,relationship:string>>")
     tile = heads.join(nodes_of, "tile").join(links_of, "tile", "left").join(parts, "tile").join(external, "tile", "left")
@@ -53,7 +54,7 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
     x, y = layout.world_spiral(F.col("i") - 1)
     children = numbered.withColumns({"x": F.round(x / 1000, 5), "y": F.round(y / 1000, 5)}).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("id", "label", "count", "seedAsn", "x", "y"))).alias("children"))
     pairs_of = tile_pairs.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("source", "target", "count"))).alias("links"))
-    groups = graph._cut(labelled(membership))
+    groups = cut(labelled(membership))
     plain = F.array().cast("array<struct<source:string,target:string,count:bigint>>")
     group = groups.join(children, "grp").join(pairs_of, "grp", "left").select(F.col("grp").alias("key"), F.to_json(F.struct(F.col("grp").alias("id"), "label", "count", F.lit("tiles").alias("partition"), "children", F.coalesce("links", plain).alias("links"))).alias("json"))
 

@@ -388,15 +388,12 @@ def q29(spark, sf_dir):
     """The same dump raw, as gzip and as bzip2, written to the shared folder through Spark's file system and scanned."""
     import uuid
 
-    from netloom.session import ship
+    from netloom.session import shared_dir, ship
     from netloom.sources.mrt import MrtDataSource
 
     ship(spark).dataSource.register(MrtDataSource)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        graph._cut(spark.range(1))
-        root = spark.sparkContext.getCheckpointDir()
-    root = f"{root.removeprefix('file:').replace('///', '/')}/mrt-{uuid.uuid4().hex}"
+    root = shared_dir(spark).removeprefix("file:")
+    root = f"/{root.lstrip('/')}/mrt-{uuid.uuid4().hex}" if "://" not in root else f"{root}/mrt-{uuid.uuid4().hex}"
     data = sample_dump()
     for name, body in (("raw", data), ("gz", gzip.compress(data)), ("bz2", bz2.compress(data))):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
