@@ -50,9 +50,10 @@ GOOD_TAGS = frozenset(["article", "main"])
 GOOD_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 HEAD_WORDS = frozenset(["header", "head", "heading", "title"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("address caption dd div dt figcaption legend li p pre summary td th".split())
 
 NAMES = ("bias", "inner_good", "inner_bad", "any_bad", "links", "length", "short", "stop", "heading", "paragraph", "item", "rights")
-PRIOR = np.array([-1.0, 4.0, -5.0, -5.0, -3.0, 0.5, -0.6, 1.0, 0.2, 0.8, -0.5, -2.5])
+PRIOR = np.array([-1.0, 4.0, -5.0, -5.0, -3.0, 0.5, -0.6, 1.0, 1.0, 0.8, -0.5, -2.5])
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRS = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -102,8 +103,10 @@ def parse(page: str) -> list[Block]:
         if skip or not s or (now is None and s.isspace()):
             return
         if now is None:
-            top = next((e for e in reversed(stack) if e[0] in BLOCKS or e[0] == ""), stack[0])
-            now = Block(top[1], top[0], stack[-1][2], stack[-1][3])
+            around = [e for e in stack if e[0] in BLOCKS or e[0] == ""]
+            # text of a paragraph or the like belongs with its siblings, other text with the element it is in
+            parent = around[-2] if around[-1][0] in LEAVES else around[-1]
+            now = Block(parent[1], around[-1][0], stack[-1][2], stack[-1][3])
             blocks.append(now)
         s = htmllib.unescape(s) if "&" in s else s
         now.parts.append(s)
