@@ -409,7 +409,7 @@ def test_pipeline(spark, sf, texts):
 
 TEMPLATES = {
     "div soup": ('<body><div class="top"><a href=/>Home</a> | <a href=/a>About</a></div><div><h1>Headline of the story</h1><p>The first paragraph is long enough, with words.</p><p>Short one.</p></div><div><ul><li><a href=x>Related one</a></li></ul></div><div>Copyright 2024 All rights reserved</div></body>', "Headline of the story|The first paragraph is long enough, with words.|Short one."),
-    "table": ("<body><table><tr><td><a href=a>Menu A</a><br><a href=b>Menu B</a></td><td><h2>Story title</h2><p>Paragraph one of the story goes here.</p></td><td><b>Sponsored</b> <a href=q>Buy stuff</a></td></tr></table></body>", "Story title|Paragraph one of the story goes here."),
+    "table": ("<body><table><tr><td><a href=a>Menu A</a><br><a href=b>Menu B</a></td><td><h2>Story title</h2><p>Paragraph one of the story goes here.</p><p>Paragraph two of it, too.</p></td><td><b>Sponsored</b> <a href=q>Buy stuff</a></td></tr></table></body>", "Story title|Paragraph one of the story goes here.|Paragraph two of it, too."),
     "inner noise": ('<main><article><header><h1>Title</h1></header><p>Para one is here and long.</p><aside>Related stories for you to read now.</aside><div class="newsletter-signup"><p>Sign up for our newsletter, please do.</p></div><p>Para two.</p><blockquote><p>A quote in the text.</p></blockquote><footer>Tags: a, b</footer></article><section class="comments"><article class="comment"><p>I like this very much, great article indeed.</p></article></section></main>', "Title|Para one is here and long.|Para two.|A quote in the text."),
     "names": ('<body><div class="mainNav"><p>Nav text.</p></div><div class="postBody"><p>Body text is here.</p></div><div class="commentList"><p>First! What a comment this is.</p></div><div role="complementary"><p>Complementary text here.</p></div></body>', "Body text is here."),
     "hidden": ('<article><p>a &lt; b &amp;amp; &#x41;&nbsp;x</p><!-- <p>hidden</p> --><p hidden>no</p><p style="display:none">no</p><noscript><p>enable</p></noscript><template><p>t</p></template><p>yes</p></article>', "a < b &amp; A x|yes"),
