@@ -38,11 +38,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 def keys(k: int) -> str:
     """SQL for a line's keys as structs (key, own): own ones say where a segment is, others where it may have moved to.
 
-    A class holds the lengths from `low`, the four leading bits of the length, to the next class; a line that is k
-    or fewer shorter than the next class is in that, too. Segments are measured by low - k, from the nearer end.
+    A class holds the lengths from `low` to the next class, `after`; a line that is k or fewer shorter than that is in
+    that, too. Segments are measured by low - k, from the nearer end.
     """
-    low = "shiftleft(shiftright(n, length(bin(n)) - 4), length(bin(n)) - 4)"
-    after = f"{low} + shiftleft(1, length(bin(n)) - 4)"
 
     def of(start: str) -> list[str]:
         out = []
@@ -56,7 +54,13 @@ def keys(k: int) -> str:
                 out.append(f"named_struct('key', xxhash64({start}, {i}, substr(line, CAST({at} AS int), {b} - {a})), 'own', {int(move == 0)})")
         return out
 
-    return f"concat(array({', '.join(of(low))}), if({after} - n <= {k}, array({', '.join(of(f'({after})'))}), array()))"
+    return f"concat(array({', '.join(of('low'))}), if(after - n <= {k}, array({', '.join(of('after'))}), array()))"
+
+
+def with_class(lines: DataFrame) -> DataFrame:
+    """lines with the borders of their length's class: low keeps the four leading bits of n."""
+    lines = lines.withColumn("bits", F.length(F.bin("n")) - 4)
+    return lines.withColumn("low", F.expr("shiftleft(shiftright(n, bits), bits)")).withColumn("after", F.expr("low + shiftleft(1, bits)"))
 
 
 def letter_counts() -> str:
@@ -109,7 +113,7 @@ def linked_lines(rows: DataFrame, first: DataFrame, stages: Stages, k: int = MAX
     often = stages.keep(often.select(F.col("u").alias("o_u"), F.col("v").alias("o_v"), F.struct("doc_id", "h", "line_no").alias("o_first")))
     lines = occurrences(rows).where(F.col("n") >= least).join(F.broadcast(often), (F.col("u") == F.col("o_u")) & (F.col("v") == F.col("o_v")), "left")
     lines = lines.where(F.col("o_u").isNull() | F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("o_first")))
-    keyed = lines.select("u", F.explode(F.expr(keys(k))).alias("x")).select("u", "x.key", "x.own")
+    keyed = with_class(lines).select("u", F.explode(F.expr(keys(k))).alias("x")).select("u", "x.key", "x.own")
     of_key = Window.partitionBy("key")
     shared = keyed.withColumns({"lo": F.min("u").over(of_key), "hi": F.max("u").over(of_key)}).where("lo <> hi")
     shared = stages.keep(shared.select("key", "own", "u").distinct())
