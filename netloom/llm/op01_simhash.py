@@ -125,7 +125,9 @@ def near_links(fps: DataFrame, stages: Stages, group: int = GROUP) -> DataFrame:
     half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
     halves = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), h.alias("half")) for i, h in enumerate(half)])).alias("x")).select("x.*")
     hot = stages.keep(halves.groupBy("seg", "half").agg(F.count("*").alias("n")).where(F.col("n") > group // 2))
-    bits = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).selectExpr("fp", "v", "v & 31 AS pos", "if(v < 32, shiftrightunsigned(fp, 32), fp & 4294967295L) AS half", "if(v < 32, fp & 4294967295L, shiftrightunsigned(fp, 32)) AS other")
+    # each row becomes 64, so the few bytes of the fingerprints are spread first
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    bits = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).selectExpr("fp", "v", "v & 31 AS pos", "if(v < 32, shiftrightunsigned(fp, 32), fp & 4294967295L) AS half", "if(v < 32, fp & 4294967295L, shiftrightunsigned(fp, 32)) AS other")
     keyed = bits.selectExpr("shiftleft(CAST(v AS BIGINT), 32) | (half & ~shiftleft(1L, pos)) AS key", "fp", "other", "v", "half", "pos")
     if not hot.isEmpty():
         hot_keys = hot.selectExpr("seg", "half", "explode(sequence(0, 31)) AS p").selectExpr("shiftleft(CAST(seg * 32 + p AS BIGINT), 32) | (half & ~shiftleft(1L, p)) AS hot_key").distinct()
