@@ -159,6 +159,24 @@ def greedy(left: dict[int, float], capacity: int, whole: bool) -> list[tuple[flo
     return out
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray | None:
+    """By Gauss-Jordan steps with row exchange; None where a pivot vanishes. Elementwise, so no threads of a linear
+    algebra library start in the driver."""
+    n = len(matrix)
+    m = np.concatenate([matrix, np.eye(n)], 1)
+    for i in range(n):
+        k = i + int(np.abs(m[i:, i]).argmax())
+        if abs(m[k, i]) < 1e-9:
+            return None
+        m[[i, k]] = m[[k, i]]
+        m[i] /= m[i, i]
+        d = m[:, i].copy()
+        d[i] = 0
+        rows = np.flatnonzero(d)
+        m[rows] -= d[rows, None] * m[i]
+    return m[:, n:]
+
+
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """(times, {bin: tails}) that use each bin's tails up exactly; columns are generated until prices allow none."""
     sizes = np.array(sorted(histogram))
@@ -173,7 +191,11 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
         basis[:, at[last]] = 0
         basis[[at[s] for s in use], at[last]] = [*use.values()]
         x[at[last]] = times
-    inverse, made = np.linalg.inv(basis), 0
+    inverse, made = inverse_of(basis), 0
+    if inverse is None:  # not exactly triangular after rounding: a basis of single bins always serves
+        basis = np.diag((capacity // sizes).astype(float))
+        inverse = inverse_of(basis)
+        x = need / (capacity // sizes)
     bound = (need @ sizes) / capacity
     while made < COLUMNS and x.sum() - bound > GAP * x.sum():
         price = np.maximum(inverse.sum(0), 0)
@@ -185,7 +207,7 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
             made += 1
             if inverse.sum(0) @ c <= 1 + 1e-9:
                 continue
-            d = inverse @ c
+            d = (inverse * c).sum(1)
             ok = d > 1e-9
             if not ok.any():
                 continue
@@ -195,10 +217,12 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
             d[out] = 0
             inverse -= np.outer(d, inverse[out])
             basis[:, out] = c
-            x = np.maximum(inverse @ need, 0)
-        if made % 512 < len(columns):
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
+            x = np.maximum((inverse * need).sum(1), 0)
+        if made % 512 < len(columns):  # undo what rounding has gathered
+            inverse = inverse_of(basis)
+            if inverse is None:
+                break
+            x = np.maximum((inverse * need).sum(1), 0)
     rest, result = dict(histogram), []
     for j in np.argsort(-x, kind="stable"):
         use = {int(s): int(k) for s, k in zip(sizes, basis[:, j], strict=True) if k}

@@ -272,9 +272,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(y):
         share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * min(len(y), 200)
         for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (share * (y - p)) - 4 * (w - PRIOR)
-            w = w + np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + 4 * np.eye(len(w)), g)
+            p = 1 / (1 + np.exp(-np.clip((x * w).sum(1), -30, 30)))
+            g = (x * (share * (y - p))[:, None]).sum(0) - 4 * (w - PRIOR)
+            h = (x[:, :, None] * x[:, None, :] * (share * p * (1 - p))[:, None, None]).sum(0)
+            w = w + np.linalg.solve(h + 4 * np.eye(len(w)), g)
     return w
 
 
