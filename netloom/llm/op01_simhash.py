@@ -9,6 +9,10 @@ known beforehand from counts of whole halves; its rows are keyed once more by th
 left out). Under such a key at most 2^18 distinct fingerprints exist at all, so no task holds an unbounded group. Each
 group hands on a spanning star per component, fewer links than it has members, never all pairs.
 
+`keep_one`, the filter, also joins documents whose five-word shingles are 0.8 similar. So wide a search needs more bits:
+2048 signs of structured projections, cut into 102 segments; nodes that share one are candidates (a pair at 0.8 shares one
+with a probability of 0.98, at 0.85 of over 0.999), and the share of differing bits decides.
+
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like others; rows
 with one identifier share their component only through their fingerprints; a null identifier never becomes a
 component_id unless its component has no other; an empty table gives an empty result; other columns are not read.
@@ -155,11 +159,126 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Similarity of shingle sets: the same sign-of-projection fingerprints with many bits. At a similarity of 0.8 every seventh
+# bit differs, too many for whole halves with a bit left out, so many short segments are joined as they are.
+BITS, SEGMENT, WORDS, SIMILARITY, ERROR = 2048, 20, 5, 0.8, 0.02
+FEW = 80
+SKETCH_BITS = 20
+RUN = 256
+_signs = np.random.default_rng(SEED).choice(np.array([-1.0, 1.0], np.float32), BITS)
+_places = (1 << np.arange(SEGMENT)).astype(np.int64)
+
+
+def shingle_hashes(text: bytes, shingle: int = WORDS) -> tuple[int, np.ndarray]:
+    """A hash of all words, and the hashes of the different shingles."""
+    words = text.lower().split()
+    k = min(shingle, len(words))
+    grams = map(b" ".join, zip(*(words[j:] for j in range(k)), strict=False)) if k else ()
+    node = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64)
+    return int(node), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def projections(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS bits for each set: signs of a Hadamard transform of its members' signed counts in BITS bins, as bytes."""
+    x = np.zeros((len(sets), BITS), np.float32)
+    for row, h in zip(x, sets, strict=True):
+        row += np.bincount((h >> np.uint64(1) & np.uint64(BITS - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), BITS)
+    x *= _signs
+    half = 1
+    while half < BITS:
+        y = x.reshape(len(sets), -1, 2, half)
+        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(sets), BITS)
+        half *= 2
+    return np.packbits(x > 0, axis=1, bitorder="little")
+
+
+def _project(batches):
+    for b in slices(batches):
+        nodes, sets = zip(*map(shingle_hashes, texts(b.column(1))), strict=True)
+        bits = projections(list(sets))
+        few = [h.tobytes() if len(h) <= FEW else b"" for h in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(few, pa.binary())], ["id", "node", "bits", "few"])
+
+
+def _segments(batches):
+    for b in slices(batches):
+        raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        n = BITS // SEGMENT
+        keys = np.unpackbits(raw, axis=1, bitorder="little")[:, : n * SEGMENT].reshape(b.num_rows, n, SEGMENT) @ _places
+        keys += np.arange(n) << SEGMENT
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(raw[:, :8].copy().view(np.int64).ravel(), n))], ["key", "node", "sketch"])
+
+
+def _candidates(batches):
+    """Rows sorted by key: each node with its run's first and with the nearest of its neighbours, if their sketches are
+    near; never all pairs. A run of any length is read in pieces."""
+    last_key, first = None, None  # first: node and sketch of the current run
+    for b in slices(batches, RUN * 64):
+        key, node, sketch = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+        cut = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+        out = []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if key[s] != last_key:
+                last_key, first = key[s], (node[s], sketch[s])
+                if e - s == 1:
+                    continue
+            for i in range(s, e, RUN):
+                n, f = node[i : min(e, i + RUN)], sketch[i : min(e, i + RUN)]
+                far = np.bitwise_count(f[:, None] ^ f[None, :])
+                np.fill_diagonal(far, 65)
+                near = far.argmin(1)
+                ok = far[np.arange(len(n)), near] <= SKETCH_BITS
+                star = np.bitwise_count(f ^ first[1]) <= SKETCH_BITS
+                out += [np.stack([n[ok], n[near[ok]]], 1), np.stack([n[star], np.full(star.sum(), first[0])], 1)]
+        if out:
+            e = np.concatenate(out)
+            e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
+
+
+def _similar(similarity: float):
+    def run(batches):
+        for b in slices(batches, 1024):
+            bits = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3)]
+            cos = np.cos(np.pi * np.bitwise_count(bits[0] ^ bits[1]).sum(1) / BITS)
+            good = cos / (2 - cos) >= similarity - ERROR
+            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                if x and y:  # few shingles: counted, not estimated
+                    x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good[i] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in b.columns[:2]], ["a", "b"])
+
+    return run
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id for each row: components of documents whose sets of five-word shingles have a Jaccard
+    similarity of at least `similarity`, counted for short texts, estimated with a standard error of ERROR for others."""
+    stages = Stages(df.sparkSession, "similar")
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = stages.keep(df.select(col(id_col).alias("id"), col(text_col).cast("string")).mapInArrow(_project, f"id {kind}, node long, bits binary, few binary"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("bits", "few")).alias("x"))
+    nodes = stages.keep(nodes.select("node", "least", "x.*"))
+    keyed = nodes.select("node", "bits").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").mapInArrow(_segments, "key long, node long, sketch long")
+    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long").distinct()
+    own = lambda n: nodes.select(F.col("node").alias(n), F.col("bits").alias(f"bits_{n}"), F.col("few").alias(f"few_{n}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "bits_a", "bits_b", "few_a", "few_b")
+    edges = stages.keep(both.mapInArrow(_similar(similarity), "a long, b long"))
+    roots = components(edges, stages).toDF("r_node", "root")
+    labelled = stages.keep(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    labels = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("l_node"), "component_id")
+    return rows.join(labels, F.col("node") == F.col("l_node")).select(F.col("id").alias("doc_id"), "component_id")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows of which each component keeps the document with its smallest identifier; rows without one stay."""
-    found = simhash_components(df, id_col, text_col)
+    """df's rows of which each group keeps the document with its smallest identifier; rows without one stay. Documents
+    are in one group if chains of close fingerprints (LINK_BITS) or of similar shingle sets (SIMILARITY) connect them."""
+    stages = Stages(df.sparkSession, "groups")
+    links = [f(df, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id") for f in (simhash_components, similar_components)]
+    roots = components(links[0].union(links[1]), stages)
     (key,) = fresh(df, "x_drop")
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    drop = stages.keep(roots.where("node <> root").select(F.col("node").alias(key)).distinct())
     return df.join(drop, col(id_col) == F.col(key), "left_anti")
 
 

@@ -47,7 +47,8 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if hs and 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def plain_components(prints):
+def plain_components(prints, near=lambda a, b: False):
+    """Components of documents at 3 bits or fewer, or otherwise near."""
     root = {i: i for i in prints}
 
     def find(x):
@@ -56,12 +57,46 @@ def plain_components(prints):
         return x
 
     for a, b in itertools.combinations(sorted(prints), 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 3:
+        if (prints[a] ^ prints[b]).bit_count() <= 3 or near(a, b):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in prints}
 
 
+def shingles(text):
+    w = re.findall(WORDS, re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def test_similar_texts_are_grouped_and_others_are_not(spark):
+    """Near copies at a five-word similarity of 0.8 and more, of texts short and long, and many unrelated short texts."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows, want = [], {}
+    for k in range(150):
+        w = [word() for _ in range(rng.choice([1, 2, 4, 6, 30, 120, 400, 1500]))]
+        rows.append((3 * k, " ".join(w)))
+        edits = len(w) // 60
+        v = list(w)
+        for i in rng.sample(range(len(w)), edits):
+            v[i] = "zz" + word()
+        rows.append((3 * k + 1, " ".join(v)))
+        rows.append((3 * k + 2, " ".join(word() for _ in range(rng.randint(1, 40)))))
+    sets = {i: shingles(t) for i, t in rows}
+    for k in range(150):
+        want[3 * k] = jaccard(sets[3 * k], sets[3 * k + 1])
+    got = {r.doc_id: r.component_id for r in o1.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [k for k, j in want.items() if j >= 0.8]
+    assert len(near) > 100 and all(got[k + 1] == got[k] for k in near)
+    assert all(got[k + 1] != got[k] for k, j in want.items() if j < 0.7)
+    lone = [k + 2 for k in want if all(jaccard(sets[k + 2], s) < 0.7 for i, s in sets.items() if i != k + 2)]
+    assert len(lone) > 100 and all(got[i] == i for i in lone)
+
+
 @pytest.mark.parametrize("group", [1024, 2])
 def test_simhash(spark, sf, texts, group):
     prints = {i: plain_fingerprint(t) for i, t in texts.items()}
@@ -398,8 +433,9 @@ def test_pipeline(spark, sf, texts):
     for i in sorted(kept["toxicity"]):
         first.setdefault(spaced[i], i)
     assert kept["exact_dedup"] == set(first.values())
-    comp = plain_components({i: plain_fingerprint(texts[i]) for i in kept["exact_dedup"]})
-    assert kept["simhash"] == {i for i, c in comp.items() if i == c}
+    prints, sets = {i: plain_fingerprint(texts[i]) for i in kept["exact_dedup"]}, {i: shingles(texts[i]) for i in kept["exact_dedup"]}
+    firsts = lambda least: {i for i, c in plain_components(prints, lambda a, b: jaccard(sets[a], sets[b]) >= least).items() if i == c}
+    assert firsts(0.7) <= kept["simhash"] <= firsts(0.8)
     items = [o2.normal(t) for _, t in connect(sf).execute("SELECT item_id, text FROM benchmark").fetchall()]
     leaky = {i for i in kept["simhash"] if any(t in o2.normal(texts[i]) for t in items)}
     assert leaky and kept["decontaminate"] == kept["simhash"] - leaky
