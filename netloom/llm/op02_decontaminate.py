@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netloom.llm.common import Stages, col, filter_rows, slices, table
 
@@ -111,7 +112,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHAR
         yield now
 
 
-def _matches(block, per_error):
+def _matches(block, per_error, item_kind):
     def run(batches):
         m = Matcher(block, per_error)
         for b in slices(batches):
@@ -121,7 +122,7 @@ def _matches(block, per_error):
                     for x in m.items[i][0]:
                         ids.append(d), keys.append(h), items.append(x), edits.append(e)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(items), pa.array(edits, pa.int32())], ["doc_id", "key", "item_id", "edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(items, item_kind), pa.array(edits, pa.int32())], ["doc_id", "key", "item_id", "edits"])
 
     return run
 
@@ -131,10 +132,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     Stages(docs.sparkSession, "leaks")
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, key long, item_id {kinds[1]}, edits int"
+    item_kind = to_arrow_type(items.schema[item_id].dataType)
     rows = docs.select(col(id_col), F.xxhash64(col(text_col)), col(text_col).cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(items, item_id, item_text, block_chars):
-        out = out.union(rows.mapInArrow(_matches(block, per_error), schema))
+        out = out.union(rows.mapInArrow(_matches(block, per_error, item_kind), schema))
     return out.groupBy("doc_id", "key", "item_id").agg(F.min("edits").alias("edits"))
 
 

@@ -57,6 +57,8 @@ def test_decontaminate(spark, odd):
     for d, i in ((empty(spark), items(spark)), (odd, items(spark).limit(0))):
         assert o2.leaks(d, i).count() == 0 and o2.keep_clean(d, i).count() == d.count()
     assert o2.keep_clean(odd, items(spark), block_chars=1).count() == ROWS - 3
+    for kind in ("int", "string"):
+        assert o2.leaks(odd, items(spark).selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")).count() == 4
 
 
 @pytest.mark.parametrize("least", [64, 1])
