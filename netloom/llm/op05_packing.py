@@ -20,6 +20,7 @@ only where asked for.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import uuid
 import zlib
@@ -54,14 +55,13 @@ class Tokens:
     """Ids as `tokenizers` gives them. The same vocabulary as ranks is quicker, and serves for texts of common characters."""
 
     def __init__(self, path: str, ranks: str | None):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.path, self.slow, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f).get("added_tokens") or []]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        self.fast = None
         if ranks:
+            import tiktoken
+
             with open(ranks, "rb") as f:
                 own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
@@ -69,6 +69,10 @@ class Tokens:
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and PLAIN.fullmatch(text) and not self.special.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if self.slow is None:  # loaded where a text needs it
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
