@@ -9,9 +9,11 @@ known beforehand from counts of whole halves; its rows are keyed once more by th
 left out). Under such a key at most 2^18 distinct fingerprints exist at all, so no task holds an unbounded group. Each
 group hands on a spanning star per component, fewer links than it has members, never all pairs.
 
-`keep_one`, the filter, also joins documents whose five-word shingles are 0.8 similar. So wide a search needs more bits:
-2048 signs of structured projections, cut into 102 segments; nodes that share one are candidates (a pair at 0.8 shares one
-with a probability of 0.98, at 0.85 of over 0.999), and the share of differing bits decides.
+`keep_one`, the filter, also joins documents whose five-word shingles are 0.8 similar, exactly: a pair meets under a shingle
+that both texts' prefixes hold (shingles that many texts hold come last in their order), bounds on what two sets can share
+leave few pairs, and those are counted. A key's first few nodes meet all its others first; what is then one group is not
+compared again, and all other pairs of a key are. So only keys whose many nodes are not similar cost the square of their
+number, in comparing 512 bits each.
 
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like others; rows
 with one identifier share their component only through their fingerprints; a null identifier never becomes a
@@ -159,14 +161,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similarity of shingle sets: the same sign-of-projection fingerprints with many bits. At a similarity of 0.8 every seventh
-# bit differs, too many for whole halves with a bit left out, so many short segments are joined as they are.
-BITS, SEGMENT, WORDS, SIMILARITY, ERROR = 2048, 20, 5, 0.8, 0.02
-FEW = 80
-SKETCH_BITS = 20
-RUN = 256
-_signs = np.random.default_rng(SEED).choice(np.array([-1.0, 1.0], np.float32), BITS)
-_places = (1 << np.arange(SEGMENT)).astype(np.int64)
+# Similarity of shingle sets, exactly. In any order of all shingles that is the same for every text, two sets at a similarity
+# s share one of their first n - ceil(s n) + 1 members. So each text is keyed by those, with the shingles that many texts
+# hold ordered last.
+WORDS, SIMILARITY = 5, 0.8
+PARITY = 512
+CENTRES = 4
+SAMPLE, OFTEN, MOST_OFTEN = 16, 16, 1 << 18
+PAIR_CELLS = 1 << 18
+SLOTS = 1 << 24
+SLACK = 1e-9
 
 
 def shingle_hashes(text: bytes, shingle: int = WORDS) -> tuple[int, np.ndarray]:
@@ -178,97 +182,214 @@ def shingle_hashes(text: bytes, shingle: int = WORDS) -> tuple[int, np.ndarray]:
     return int(node), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
-def projections(sets: list[np.ndarray]) -> np.ndarray:
-    """BITS bits for each set: signs of a Hadamard transform of its members' signed counts in BITS bins, as bytes."""
-    x = np.zeros((len(sets), BITS), np.float32)
-    for row, h in zip(x, sets, strict=True):
-        row += np.bincount((h >> np.uint64(1) & np.uint64(BITS - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), BITS)
-    x *= _signs
-    half = 1
-    while half < BITS:
-        y = x.reshape(len(sets), -1, 2, half)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(sets), BITS)
-        half *= 2
-    return np.packbits(x > 0, axis=1, bitorder="little")
+def parity(h: np.ndarray) -> bytes:
+    """PARITY bits, each whether an odd number of members fall on it. Two sets differ in at least as many members as bits."""
+    return np.packbits(np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1 > 0).tobytes()
 
 
-def _project(batches):
+def _members(batches):
     for b in slices(batches):
-        nodes, sets = zip(*map(shingle_hashes, texts(b.column(1))), strict=True)
-        bits = projections(list(sets))
-        few = [h.tobytes() if len(h) <= FEW else b"" for h in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(few, pa.binary())], ["id", "node", "bits", "few"])
+        h = np.concatenate([np.empty(0, np.uint64), *(shingle_hashes(t)[1] for t in texts(b.column(0)))])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
 
-def _segments(batches):
+def often(rows: DataFrame, sample: int = SAMPLE, least: int = OFTEN) -> np.ndarray:
+    """Shingles that many texts hold, judged by a share of the texts. They only set the order, never the result."""
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(_members, "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_OFTEN)
+    return np.sort(np.array([r.h for r in top.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def prefix(h: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """The members that a text is keyed by, in order. h: sorted; last: sorted members that come after all others."""
+    if len(last):
+        at = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+        h = np.concatenate([h[~at], h[at]])
+    return h[: len(h) - int(np.ceil(similarity * len(h) - SLACK)) + 1]
+
+
+def _prefixes(last: np.ndarray, similarity: float):
+    def run(batches):
+        for b in slices(batches):
+            nodes, sets = zip(*map(shingle_hashes, texts(b.column(1))), strict=True)
+            columns = [pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([prefix(h, last, similarity).tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "node", "n", "bits", "prefix"])
+
+    return run
+
+
+def _keys(batches):
     for b in slices(batches):
-        raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        n = BITS // SEGMENT
-        keys = np.unpackbits(raw, axis=1, bitorder="little")[:, : n * SEGMENT].reshape(b.num_rows, n, SEGMENT) @ _places
-        keys += np.arange(n) << SEGMENT
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(raw[:, :8].copy().view(np.int64).ravel(), n))], ["key", "node", "sketch"])
-
-
-def _candidates(batches):
-    """Rows sorted by key: each node with its run's first and with the nearest of its neighbours, if their sketches are
-    near; never all pairs. A run of any length is read in pieces."""
-    last_key, first = None, None  # first: node and sketch of the current run
-    for b in slices(batches, RUN * 64):
-        key, node, sketch = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
-        cut = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-        out = []
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if key[s] != last_key:
-                last_key, first = key[s], (node[s], sketch[s])
-                if e - s == 1:
-                    continue
-            for i in range(s, e, RUN):
-                n, f = node[i : min(e, i + RUN)], sketch[i : min(e, i + RUN)]
-                far = np.bitwise_count(f[:, None] ^ f[None, :])
-                np.fill_diagonal(far, 65)
-                near = far.argmin(1)
-                ok = far[np.arange(len(n)), near] <= SKETCH_BITS
-                star = np.bitwise_count(f ^ first[1]) <= SKETCH_BITS
-                out += [np.stack([n[ok], n[near[ok]]], 1), np.stack([n[star], np.full(star.sum(), first[0])], 1)]
-        if out:
-            e = np.concatenate(out)
-            e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
+        node, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        own = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+        size = [len(p) for p in own]
+        rest = np.repeat(n, size) - np.concatenate([np.arange(s, dtype=np.int32) for s in size])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(node, size)), pa.array(rest.astype(np.int32))], ["key", "node", "rest"])
+
+
+def _sets(slots: np.ndarray):
+    """Nodes and sets of the texts whose node's slot is marked."""
+
+    def run(batches):
+        for b in slices(batches):
+            out = []
+            for t in texts(b.column(0)):
+                at = xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) % SLOTS
+                if slots[at >> 3] >> (at & 7) & 1:
+                    node, h = shingle_hashes(t)
+                    out.append((node, h.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "members"])
+
+    return run
+
+
+def _shared(batches):
+    """Rows sorted by key: those whose key another row has, too."""
+    held, known = None, False  # held: the last row so far; known: whether the row before it has its key
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+        same = np.diff(t.column(0).to_numpy()) == 0
+        copy = np.r_[False, same & (np.diff(t.column(1).to_numpy()) == 0)]
+        t = t.filter(pa.array(~copy))
+        same = same[~copy[1:]]
+        keep = np.r_[known, same[:-1]] | same if len(same) else np.zeros(0, bool)
+        known = bool(same[-1]) if len(same) else known
+        held = t.slice(t.num_rows - 1)
+        yield t.slice(0, t.num_rows - 1).filter(pa.array(keep))
+    if known:
+        yield held
+
+
+def _pairs(similarity: float, rest_of: bool):
+    """Rows sorted by (key, node): pairs that no exact bound excludes, of each row with its run's CENTRES first, or (rest_of)
+    of all others of different groups. A run is compared in blocks."""
+
+    def near(x, y):
+        """x, y: (node, rest, n, bits, group) of two blocks; pairs of rows as indices."""
+        both = x[2][:, None] + y[2][None, :]
+        ok = (x[0][:, None] < y[0][None, :]) & (x[4][:, None] != y[4][None, :])
+        # what is left of both from their first common member on holds all that they share
+        ok &= np.minimum(x[1][:, None], y[1][None, :]) >= both * (similarity / (1 + similarity)) - SLACK
+        i, j = np.nonzero(ok)
+        few = np.bitwise_count(x[3][i] ^ y[3][j]).sum(1) <= both[i, j] * ((1 - similarity) / (1 + similarity)) + SLACK
+        return np.stack([x[0][i[few]], y[0][j[few]]], 1)
+
+    def of(run):
+        size = len(run[0])
+        if not rest_of:
+            yield near([c[:CENTRES] for c in run], run)
+        elif size > CENTRES + 1 and (run[4] != run[4][0]).any():
+            step = max(1, PAIR_CELLS // size)
+            for i in range(CENTRES, size, step):
+                yield near([c[i : i + step] for c in run], [c[i:] for c in run])
+
+    def batch(found):
+        e = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
+
+    def runs(batches):
+        left = None
+        for b in batches:
+            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, PARITY // 64)
+            now = [b.column(i).to_numpy() for i in (0, 1, 2, 3)] + [bits, b.column(5).to_numpy()]
+            left = now if left is None else [np.concatenate(c) for c in zip(left, now, strict=True)]
+            if not len(left[0]) or left[0][0] == left[0][-1]:
+                continue
+            open_ = int(np.searchsorted(left[0], left[0][-1]))
+            cut = np.r_[0, np.flatnonzero(np.diff(left[0][:open_])) + 1, open_]
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                yield from of([c[s:e] for c in left[1:]])
+            left = [c[open_:] for c in left]
+        if left is not None and len(left[0]):
+            yield from of(left[1:])
+
+    def run(batches):
+        found, count = [], 0
+        for p in runs(batches):
+            found.append(p)
+            count += len(p)
+            if count > CHUNK:
+                yield batch(found)
+                found, count = [], 0
+        if found:
+            yield batch(found)
+
+    return run
 
 
 def _similar(similarity: float):
+    """Pairs whose sets are similar, counted."""
+
     def run(batches):
-        for b in slices(batches, 1024):
-            bits = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3)]
-            cos = np.cos(np.pi * np.bitwise_count(bits[0] ^ bits[1]).sum(1) / BITS)
-            good = cos / (2 - cos) >= similarity - ERROR
-            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                if x and y:  # few shingles: counted, not estimated
-                    x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[i] = both >= similarity * (len(x) + len(y) - both)
+        for b in slices(batches):
+            good = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both >= similarity * (len(x) + len(y) - both) - SLACK
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in b.columns[:2]], ["a", "b"])
 
     return run
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, often_least: int = OFTEN) -> DataFrame:
     """doc_id, component_id for each row: components of documents whose sets of five-word shingles have a Jaccard
-    similarity of at least `similarity`, counted for short texts, estimated with a standard error of ERROR for others."""
+    similarity of at least `similarity`, counted for texts of any length."""
     stages = Stages(df.sparkSession, "similar")
     kind = df.schema[id_col].dataType.simpleString()
-    rows = stages.keep(df.select(col(id_col).alias("id"), col(text_col).cast("string")).mapInArrow(_project, f"id {kind}, node long, bits binary, few binary"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("bits", "few")).alias("x"))
-    nodes = stages.keep(nodes.select("node", "least", "x.*"))
-    keyed = nodes.select("node", "bits").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").mapInArrow(_segments, "key long, node long, sketch long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long").distinct()
-    own = lambda n: nodes.select(F.col("node").alias(n), F.col("bits").alias(f"bits_{n}"), F.col("few").alias(f"few_{n}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "bits_a", "bits_b", "few_a", "few_b")
-    edges = stages.keep(both.mapInArrow(_similar(similarity), "a long, b long"))
+    told = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    rows = stages.keep(told.mapInArrow(_prefixes(often(told, least=often_least), similarity), f"id {kind}, node long, n int, bits binary, prefix binary"))
+    # rows of one node have the same words, so the same set
+    nodes = stages.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("n", "bits")).alias("x")).select("node", "least", "x.*"))
+    keyed = rows.select("node", "n", "prefix").mapInArrow(_keys, "key long, node long, rest int")
+    shared = stages.keep(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, rest int"))
+
+    def met(rows_of: DataFrame, groups: DataFrame, rest_of: bool) -> DataFrame:
+        """Pairs of different groups that meet under a key and may be similar."""
+        placed = rows_of.join(nodes.select("node", "n", "bits"), "node").join(groups, "node").select("key", "node", "rest", "n", "bits", "grp")
+        return stages.keep(placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(similarity, rest_of), "a long, b long").distinct())
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar. Sets are made anew for texts that are needed, so that few are moved."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).select(F.pmod("end", F.lit(SLOTS)).alias("slot"))
+        words = ends.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS int)))").alias("v"))
+        slots = np.zeros(SLOTS // 32, np.uint32)
+        for r in words.toLocalIterator():
+            slots[r.w] = r.v
+        if not slots.any():
+            return pairs
+        sets = told.select("text").mapInArrow(_sets(slots.view(np.uint8)), "node long, members binary").dropDuplicates(["node"])
+        sets = stages.keep(sets)
+        both = pairs.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b").select("a", "b", "members_a", "members_b")
+        out = stages.keep(both.mapInArrow(_similar(similarity), "a long, b long"))
+        stages.drop(sets)
+        return out
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        roots = components(edges, stages).toDF("r_node", "root")
+        return stages.keep(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("grp")))
+
+    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        return stages.keep(pairs.join(groups.toDF("a", "grp_a"), "a").join(groups.toDF("b", "grp_b"), "b").where("grp_a <> grp_b").select("a", "b"))
+
+    # each key's few centres with all its nodes: of each node one pair first, then those that are still apart
+    alone = nodes.select("node", F.col("node").alias("grp"))
+    pairs = met(shared, alone, False)
+    edges = counted(stages.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    edges = edges.union(counted(apart(pairs, grouped(edges))))
+    # of larger keys whose nodes are still in several groups, every pair
+    groups = grouped(edges)
+    mixed = shared.join(groups, "node").groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).where(f"n > {CENTRES + 1} AND low <> high").select("key")
+    pairs = met(shared.join(mixed, "key", "left_semi"), groups, True)
+    more = counted(stages.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    edges = edges.union(more)
+    edges = edges.union(counted(apart(pairs, grouped(edges))))
     roots = components(edges, stages).toDF("r_node", "root")
     labelled = stages.keep(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     labels = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("l_node"), "component_id")
-    return rows.join(labels, F.col("node") == F.col("l_node")).select(F.col("id").alias("doc_id"), "component_id")
+    return rows.select("id", "node").join(labels, F.col("node") == F.col("l_node")).select(F.col("id").alias("doc_id"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

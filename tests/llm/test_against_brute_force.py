@@ -97,6 +97,41 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert len(lone) > 100 and all(got[i] == i for i in lone)
 
 
+def similar_groups(spark, rows):
+    """What the search groups, and what counting every pair groups."""
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: r.component_id for r in o1.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    return got, {i: find(i) for i in root}
+
+
+def test_similar_pairs_within_a_family_of_less_similar_texts(spark):
+    """600 texts of one template, most pairs between 0.6 and 0.75, and a partner at 0.8 or more for every second one."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for k in range(300):
+        w = list(base)
+        for i in rng.sample(range(300), 10):
+            w[i] = f"x{k}y{i}"
+        v = list(w)
+        for i in rng.sample(range(300), rng.randint(3, 7)):
+            v[i] = f"z{k}y{i}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    rng.shuffle(rows)
+    got, want = similar_groups(spark, rows)
+    assert 200 < len(set(want.values())) < 600 and got == want
+
+
 @pytest.mark.parametrize("group", [1024, 2])
 def test_simhash(spark, sf, texts, group):
     prints = {i: plain_fingerprint(t) for i, t in texts.items()}
