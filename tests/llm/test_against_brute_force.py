@@ -132,6 +132,18 @@ def test_similar_pairs_within_a_family_of_less_similar_texts(spark):
     assert 200 < len(set(want.values())) < 600 and got == want
 
 
+def test_long_texts_are_decided_by_the_counted_similarity(spark):
+    """Texts of 180 shingles and their continuations, at similarities from just below 0.8 to just above it."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(80):
+        w = [f"k{k}w{i}" for i in range(184)]
+        more = 45 if k % 2 else 46 + rng.randint(0, 8)  # 180 of 225 are 0.8
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + [f"k{k}m{i}" for i in range(more)]))]
+    got, want = similar_groups(spark, rows)
+    assert len(set(want.values())) == 120 and got == want
+
+
 @pytest.mark.parametrize("group", [1024, 2])
 def test_simhash(spark, sf, texts, group):
     prints = {i: plain_fingerprint(t) for i, t in texts.items()}
