@@ -144,6 +144,18 @@ def test_long_texts_are_decided_by_the_counted_similarity(spark):
     assert len(set(want.values())) == 120 and got == want
 
 
+def test_short_texts_of_a_similarity_of_just_08_are_found(spark):
+    """4 v 5 shingles, 9 v 9 that share 8, and 12 v 15."""
+    rows = []
+    for k in range(90):
+        n, other = [(8, 9), (13, 13), (16, 19)][k % 3]
+        w = [f"k{k}w{i}" for i in range(n)]
+        v = [*w[:-1], "other"] if n == other else w + [f"k{k}m{i}" for i in range(other - n)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got, want = similar_groups(spark, rows)
+    assert len(set(want.values())) == 90 and got == want
+
+
 @pytest.mark.parametrize("group", [1024, 2])
 def test_simhash(spark, sf, texts, group):
     prints = {i: plain_fingerprint(t) for i, t in texts.items()}
