@@ -160,7 +160,7 @@ def tiles(ordered: DataFrame, target: int = TILE) -> DataFrame:
     """asn, grp, tile ("g01-c001"). ordered: asn, grp, position (0-based within the group)."""
     sizes = ordered.groupBy("grp").agg(F.count("*").alias("size"))
     number = tile_of(F.col("position"), F.col("size"), target)
-    return ordered.join(sizes, "grp").select("asn", "grp", F.concat("grp", F.lit("-c"), F.lpad(number.cast("string"), 3, "0")).alias("tile"))
+    return ordered.join(sizes, "grp").select("asn", "grp", F.concat("grp", F.format_string("-c%03d", number)).alias("tile"))
 
 
 def bucket(asn: Column, buckets: int = BUCKETS) -> Column:

@@ -98,6 +98,11 @@ def test_tiles_follow_equal_sizes(spark):
         assert [r["count"] for r in t] == [n // k + (i < n % k) for i in range(k)]
 
 
+def test_tiles_beyond_999_keep_their_own_names(spark):
+    ordered = spark.range(1010).selectExpr("id AS asn", "'g01' AS grp", "id AS position")
+    assert {r.asn: r.tile for r in topo.tiles(ordered, 1).collect()} == {i: f"g01-c{i + 1:03d}" for i in range(1010)}
+
+
 def test_merge_communities_takes_the_smallest_into_the_strongest(spark):
     m = spark.createDataFrame([(a, a // 10) for a in range(60) if a % 10 < 3 + a // 10], "asn bigint, grp bigint")
     e = spark.createDataFrame([(0, 10, 0), (1, 20, 0), (2, 21, 0), (30, 40, -1), (31, 50, 0), (10, 30, 0), (20, 40, 0)], "a bigint, b bigint, rel int")
