@@ -28,19 +28,32 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own is made only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose executors are the
+    driver, gets a folder of its own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-"))
     return sc.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/netloom-cut-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "netloom-cut") + "/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
