@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from netloom.session import shared_dir, ship
+from netloom.session import own_folder, ship
 
 #: White space as the operators' contracts define it, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Stages:
-    """Intermediate tables in the shared folder. A written table cuts lineage and outlives executors."""
+    """Intermediate tables in the shared folder. A written table cuts lineage and outlives executors; those that a lazy
+    result may still read go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = ship(spark)
-        self.root = f"{shared_dir(spark)}/netloom-{name}-{uuid.uuid4().hex}"
+        self.root = own_folder(spark, f"netloom-{name}")
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ class Stages:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete stage tables that no lazy result still reads."""
+        """Delete stage tables at once that no lazy result still reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

@@ -5,8 +5,10 @@ edits (insertions, deletions, substitutions). Cut into budget + 1 pieces, one pi
 unchanged: an Aho-Corasick automaton over all pieces finds piece hits in one pass over a whole text, and each hit's
 surroundings are verified with Myers' bit-parallel distance, whose bit vectors span the whole item.
 
-Items are taken in blocks of at most `BLOCK_CHARS` characters, a stated bound on what a task is sent; each block is
-matched against all documents. Documents never move: the pass is a map, and only matches are shuffled.
+Items are taken in blocks of at most `BLOCK_CHARS` characters (or one longer item), a stated bound on what a task is sent;
+each block is matched against all documents. Documents never move: the pass is a map, and only matches are shuffled. Where
+there is more than one block, what a block found or left is written before the next one is read, so the driver and each
+task hold one block at a time; the documents are then read once for each block.
 
 Defined cases: null and empty documents match nothing, nor do null or blank items; an item shorter than PER_ERROR must
 occur unchanged; items with equal texts are each reported; rows that repeat an identifier are one document here; empty
@@ -127,22 +129,30 @@ def _matches(block, per_error, item_kind):
     return run
 
 
+def _one_by_one(found: Iterator, run, stages: Stages) -> Iterator[DataFrame]:
+    """run(block) for each block; written where another block follows."""
+    block = next(found, None)
+    while block is not None:
+        out, block = run(block), next(found, None)
+        yield out if block is None else stages.keep(out)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", per_error: int = PER_ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, key (hash of the text), item_id, edits: the least edits with which the item occurs in the document."""
-    Stages(docs.sparkSession, "leaks")
+    stages = Stages(docs.sparkSession, "leaks")
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, key long, item_id {kinds[1]}, edits int"
     item_kind = to_arrow_type(items.schema[item_id].dataType)
     rows = docs.select(col(id_col), F.xxhash64(col(text_col)), col(text_col).cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(items, item_id, item_text, block_chars):
-        out = out.union(rows.mapInArrow(_matches(block, per_error, item_kind), schema))
+    for found in _one_by_one(blocks(items, item_id, item_text, block_chars), lambda block: rows.mapInArrow(_matches(block, per_error, item_kind), schema), stages):
+        out = out.union(found)
     return out.groupBy("doc_id", "key", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", per_error: int = PER_ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs' rows in which no item occurs, all columns; a map over the rows for each block of items, without a shuffle."""
-    Stages(docs.sparkSession, "leaks")
+    stages = Stages(docs.sparkSession, "clean")
     at = docs.columns.index(text_col)
 
     def only(block):
@@ -153,9 +163,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         return run
 
-    for block in blocks(items, item_id, item_text, block_chars):
-        docs = filter_rows(docs, only(block))
-    return docs
+    left = [docs]
+    for now in _one_by_one(blocks(items, item_id, item_text, block_chars), lambda block: filter_rows(left[-1], only(block)), stages):
+        left.append(now)
+    stages.drop(*left[1:-2])
+    return left[-1]
 
 
 def op2_decontaminate(spark, sf_dir):
