@@ -5,7 +5,8 @@ histogram of at most 2048 / `GRID` bins. A linear program over patterns (how man
 minimises the number of sequences: its dual prices go to an unbounded knapsack, whose best fillings become new columns,
 until none improves. The solution is rounded down; what is left of each bin, a bounded number of tails however many
 documents there are, is packed by fitting the largest first. Patterns are assigned to tails by their rank in their bin:
-each task ranks its own tails, and the tasks' counts, summed bin by bin, shift those ranks.
+each task ranks its own tails, and the tasks' counts, summed bin by bin in the order of partitions, shift those ranks, so
+that a repeated task and a repeated run over the same partitions place every tail alike.
 
 Tokens come from one pass; only piece rows are written and joined, never ids. What the driver holds is bounded by the
 histogram, whatever the input.
@@ -22,7 +23,6 @@ from __future__ import annotations
 import base64
 import json
 import re
-import uuid
 import zlib
 from collections import Counter
 from functools import cache
@@ -30,6 +30,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def _pieces(path: str, ranks: str | None, text_at: int, width: int, grid: int):
 
     def run(batches):
         tokens = tokens_of(path, ranks)
-        block, rank = uuid.uuid4().hex, Counter()
+        block, rank = TaskContext.get().partitionId(), Counter()
         for b in slices(batches):
             row, start, length, crc, total, bins, ranks_ = [], [], [], [], [], [], []
             for i, t in enumerate(b.column(text_at).to_pylist()):
@@ -92,7 +93,7 @@ def _pieces(path: str, ranks: str | None, text_at: int, width: int, grid: int):
                     row.append(i), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part)), total.append(len(ids)), bins.append(k), ranks_.append(rank[k])
                     rank[k] += 1
             kept = b.drop_columns([b.schema.names[text_at]]).take(pa.array(row, pa.int64()))
-            cols = [pa.array(x, pa.int64()) for x in (start, length, crc, total)] + [pa.array([block] * len(row), pa.string()), pa.array(bins, pa.int32()), pa.array(ranks_, pa.int64())]
+            cols = [pa.array(x, pa.int64()) for x in (start, length, crc, total)] + [pa.array([block] * len(row), pa.int32()), pa.array(bins, pa.int32()), pa.array(ranks_, pa.int64())]
             yield pa.RecordBatch.from_arrays([*kept.columns, *cols], [*kept.schema.names, "start", "length", "crc", "tokens", "block", "bin", "rank"])
 
     return run
@@ -260,7 +261,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     held = [f"carry{i}" for i in range(len(carry))]
     rows = docs.select(col(id_col).alias("doc_id"), *[col(c).alias(h) for c, h in zip(carry, held, strict=True)], col(text_col).cast("string").alias("text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    schema = f"{head}, start long, length long, crc long, tokens long, block string, bin int, rank long"
+    schema = f"{head}, start long, length long, crc long, tokens long, block int, bin int, rank long"
     pieces = stages.keep(rows.mapInArrow(_pieces(path, ranks, len(rows.columns) - 1, width, grid), schema))
     counts = pieces.groupBy("bin", "block").agg((F.max("rank") + 1).alias("n"))
     before = Window.partitionBy("bin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
