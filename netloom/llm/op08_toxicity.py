@@ -211,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.abs(F.xxhash64("id", F.lit(8)) % F.lit(1 << 30)))
     chosen = stages.keep(chosen.orderBy("h", "id").limit(max_train))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    rows = stages.keep(rows.select("h", "y", "t"))
+    # of rows that repeat an identifier one text, so that the rows are as few as the identifiers
+    rows = stages.keep(rows.groupBy("id", "h", "y").agg(F.min("t").alias("t")).select("h", "y", "t"))
     size = Counter({(r.fold, r.y): r.n for r in rows.groupBy((F.col("h") % 2).alias("fold"), "y").agg(F.count("*").alias("n")).collect()})
     pos, neg = ([size[f, y] for f in (0, 1)] for y in (1, 0))
     if not sum(pos) or not sum(neg):
