@@ -7,14 +7,19 @@ smoothness edges. The minimum cut, found by max-flow, labels the blocks together
 their edges can be fixed beforehand without changing the minimum; flow runs on what remains.
 
 The classifier's weights start from `PRIOR` and are fitted, with a Gaussian prior around them, to blocks of at most
-`TRAIN_PAGES` pages whose semantic elements tell their label.
+`TRAIN_PAGES` pages whose semantic elements tell their label: at most `TRAIN_BLOCKS` of a page, drawn from all over it by a
+hash of their place, and one page of an identifier. Extraction itself reads every block of every page.
+
+Elements and the words of class, id and role values hint at a part of the page. Within an article, words that may as well
+name its own parts (`SOFT_WORDS`) are one feature among others; elsewhere, and for all other words, they tell plainly.
 
 Character references are decoded, white space within a block (line breaks of markup too) becomes one space, blocks are
 joined by one newline in page order. Scripts, styles, forms' controls and markup never become blocks.
 
 Defined cases: a null or empty page, and one without content, gives the empty string; unclosed and stray tags, raw "<",
-unclosed comments and quotes are read as browsers do, roughly; repeated rows give repeated results; an empty table gives
-an empty result; other columns are not read.
+unclosed comments and stray quotes are read as browsers do, roughly (a quote opens a value only right after "="; one that
+is never closed belongs to its word); repeated rows give repeated results; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+import zlib
 from collections import deque
 
 import numpy as np
@@ -46,46 +52,52 @@ BAD_WORDS = frozenset(
     "disclaimer discussion disqus footer footnav gdpr legal login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices "
     "notification overlay pager pagination popup privacy promo promoted promotion recommended related reply replies respond search share sharing "
     "sidebar side sidenav signup skip social sponsor sponsored sponsors subscribe tagcloud teaser toc toolbar topbar trending widget widgets contentinfo complementary alert".split())
+SOFT_WORDS = frozenset("alert copyright disclaimer discussion legal login notification overlay privacy promoted promotion recommended related reply replies respond search side signup skip social teaser toc trending widget widgets".split())
 GOOD_TAGS = frozenset(["article", "main"])
 GOOD_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 HEAD_WORDS = frozenset(["header", "head", "heading", "title"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("address caption dd div dt figcaption legend li p pre summary td th".split())
 
-NAMES = ("bias", "inner_good", "inner_bad", "any_bad", "links", "length", "short", "stop", "heading", "paragraph", "item", "rights")
-PRIOR = np.array([-1.0, 4.0, -5.0, -5.0, -3.0, 0.5, -0.6, 1.0, 1.0, 0.8, -0.5, -2.5])
+NAMES = ("bias", "inner_good", "inner_bad", "any_bad", "links", "length", "short", "stop", "heading", "paragraph", "item", "rights", "soft")
+PRIOR = np.array([-1.0, 4.0, -5.0, -5.0, -3.0, 0.5, -0.6, 1.0, 1.0, 0.8, -0.5, -2.5, -3.0])
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTRS = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute: a name, and after "=" a value that is quoted, or runs to white space or ">".
+_ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)?+"""
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)>")
+_ATTRS = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]++))?+)?+""")
+_TELLING = re.compile(r"class|id|role|style", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RIGHTS = re.compile(r"©|all rights reserved|tous droits|alle rechte|todos los derechos", re.I)
 
 
 def _hint(tag: str, attrs: str, within_good: bool) -> int:
-    """1 content, -1 boilerplate, -2 not shown, 0 nothing said."""
-    good, bad, head = tag in GOOD_TAGS, tag in BAD_TAGS, tag == "header"
-    if attrs:
+    """1 content, -1 boilerplate, -2 not shown, 2 perhaps boilerplate of an article, 0 nothing said."""
+    good, bad, head, soft = tag in GOOD_TAGS, tag in BAD_TAGS, tag == "header", False
+    if _TELLING.search(attrs):
         for m in _ATTRS.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return -2
             if name in ("class", "id", "role"):
                 words = {w.lower() for w in _WORD.findall(value)}
-                bad |= bool(words & BAD_WORDS)
+                told = words & BAD_WORDS
+                soft |= within_good and bool(told & SOFT_WORDS)
+                bad |= bool(told - SOFT_WORDS if within_good else told)
                 head |= bool(words & HEAD_WORDS)
                 good |= bool(words & GOOD_WORDS)
     if bad:
         return -1
     if head:
         return 0 if within_good or good else -1
-    return int(good)
+    return 1 if good else 2 if soft else 0
 
 
 class Block:
-    __slots__ = ("parent", "parts", "linked", "tag", "inner", "bad", "text")
+    __slots__ = ("parent", "parts", "linked", "tag", "inner", "bad", "soft", "text")
 
-    def __init__(self, parent: int, tag: str, inner: int, bad: bool):
-        self.parent, self.tag, self.inner, self.bad = parent, tag, inner, bad
+    def __init__(self, parent: int, tag: str, inner: int, bad: bool, soft: bool):
+        self.parent, self.tag, self.inner, self.bad, self.soft = parent, tag, inner, bad, soft
         self.parts: list[str] = []
         self.linked = 0
 
@@ -93,8 +105,8 @@ class Block:
 def parse(page: str) -> list[Block]:
     """The page's text blocks in order."""
     blocks: list[Block] = []
-    # an open element: name, number, innermost hint, whether any hint is bad, whether a hint is good
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    # an open element: name, number, innermost plain hint, whether any hint is bad, good, soft
+    stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, False, False)]
     made, link, skip, now = 0, 0, 0, None
     at, end, n = 0, 0, len(page)
 
@@ -106,7 +118,7 @@ def parse(page: str) -> list[Block]:
             around = [e for e in stack if e[0] in BLOCKS or e[0] == ""]
             # text of a paragraph or the like belongs with its siblings, other text with the element it is in
             parent = around[-2] if around[-1][0] in LEAVES else around[-1]
-            now = Block(parent[1], around[-1][0], stack[-1][2], stack[-1][3])
+            now = Block(parent[1], around[-1][0], stack[-1][2], stack[-1][3], stack[-1][5])
             blocks.append(now)
         s = htmllib.unescape(s) if "&" in s else s
         now.parts.append(s)
@@ -173,10 +185,10 @@ def parse(page: str) -> list[Block]:
                 hint = 0
             if not m[3].endswith("/"):
                 made += 1
-                _, _, inner, bad, good = stack[-1]
-                stack.append((tag, made, hint or inner, bad or hint < 0, good or hint > 0))
+                _, _, inner, bad, good, soft = stack[-1]
+                stack.append((tag, made, hint if hint in (1, -1, -2) else inner, bad or hint < 0, good or hint == 1, soft or hint == 2))
                 link += tag == "a"
-                skip += tag in SKIP or hint == -2 or (hint == 0 and inner == -2)
+                skip += tag in SKIP or stack[-1][2] == -2
     out = []
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
@@ -187,7 +199,7 @@ def parse(page: str) -> list[Block]:
 
 def block_features(b: Block) -> list[float]:
     words = b.text.count(" ") + 1
-    return [1, b.inner > 0, b.inner < 0, b.bad, min(1.0, b.linked / max(1, len(b.text))), min(4.0, math.log2(1 + words)) - 2, words < 4, b.text[-1] in ".!?…:;\"”»", b.tag in HEADINGS, b.tag == "p", b.tag in ("li", "dd", "option"), bool(_RIGHTS.search(b.text))]
+    return [1, b.inner > 0, b.inner < 0, b.bad, min(1.0, b.linked / max(1, len(b.text))), min(4.0, math.log2(1 + words)) - 2, words < 4, b.text[-1] in ".!?…:;\"”»", b.tag in HEADINGS, b.tag == "p", b.tag in ("li", "dd", "option"), bool(_RIGHTS.search(b.text)), b.soft]
 
 
 def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -280,11 +292,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _told(batches):
-    """Features and labels of blocks that semantic elements label plainly; bounded per page."""
+    """Features and labels of blocks that semantic elements label plainly; of a page those with the least hash of their
+    place."""
     for b in slices(batches, 64):
         xs, ys = [], []
         for t in b.column(0).to_pylist():
-            for k in [k for k in parse(t or "") if k.bad or k.inner > 0][:TRAIN_BLOCKS]:
+            plain = [k for k in parse(t or "") if k.bad or k.inner > 0 and not k.soft]
+            for i in sorted(range(len(plain)), key=lambda i: zlib.crc32(i.to_bytes(8, "little")))[:TRAIN_BLOCKS]:
+                k = plain[i]
                 xs.append([float(v) for v in block_features(k)])
                 ys.append(int(not k.bad))
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], ["x", "y"])
@@ -293,6 +308,7 @@ def _told(batches):
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES) -> np.ndarray:
     ids = pages.select(col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
     rows = pages.select(col(id_col).alias("p"), col(html_col).cast("string").alias("t")).join(F.broadcast(ids), F.col("p") == F.col("id"))
+    rows = rows.groupBy("id").agg(F.min("t").alias("t"))
     got = sorted((tuple(r.x), r.y) for r in rows.select("t").mapInArrow(_told, "x array<double>, y int").collect())
     return fit(np.array([g[0] for g in got]).reshape(-1, len(PRIOR)), np.array([g[1] for g in got], float))
 
