@@ -458,23 +458,44 @@ def test_banded_distance(spark, k):
         assert r.d == want if want <= k else r.d > k
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_line_dedup_loses_no_link(spark, k):
-    rng = random.Random(11)
-    lines = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 80))).strip() + "x" for _ in range(40)]
-    lines = [x for x in lines if len(x) >= 20]
-    rows = [(d, "\n".join(edited(rng, rng.choice(lines), 3) if rng.random() < 0.6 else rng.choice([*lines, "short", " ", ""]) for _ in range(8))) for d in range(60)]
+def later_lines(rows, k):
+    """(document, line number) of the first occurrence of each line, and of those that link to an earlier one."""
     first = {}
     for d, t in rows:
         for i, x in enumerate(t.split("\n"), 1):
-            if x.strip():
+            if x.strip(" \t\n\v\f\r"):
                 first.setdefault(x.strip(" \t\n\v\f\r"), (d, i))
-    gone = {max(first[a], first[b]) for a, b in itertools.combinations(first, 2) if len(a) >= 20 <= len(b) and abs(len(a) - len(b)) <= k and edit_distance(a, b) <= k}
-    assert len(gone) > 20
-    got = o10.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), k=k).collect()
-    for r in got:
+    budget = lambda a, b: min(k, min(len(a), len(b)) // o10.PER_EDIT)
+    return first, {max(first[a], first[b]) for a, b in itertools.combinations(first, 2) if abs(len(a) - len(b)) <= budget(a, b) and edit_distance(a, b) <= budget(a, b)}
+
+
+def check_lines(spark, rows, k, **parameters):
+    first, gone = later_lines(rows, k)
+    for r in o10.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), k=k, **parameters).collect():
         assert r.kept_lines == ",".join(str(i) for d, i in sorted(first.values()) if d == r.doc_id and (d, i) not in gone)
         assert r.n_near == sum(d == r.doc_id for d, _ in gone)
+    return gone
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_line_dedup_loses_no_link(spark, k):
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(6, 80))).strip() + "x" for _ in range(60)]
+    rows = [(d, "\n".join(edited(rng, rng.choice(lines), 3) if rng.random() < 0.6 else rng.choice([*lines, "short", " ", ""]) for _ in range(8))) for d in range(60)]
+    gone = check_lines(spark, rows, k)
+    assert len(gone) > 20 and {len(rows[d][1].split("\n")[i - 1].strip()) // 10 for d, i in gone} >= {1, 2, 4}
+
+
+@pytest.mark.parametrize("run", [1, 8, 10_000])
+def test_lines_of_a_template(spark, run):
+    rng = random.Random(12)
+    rows = [(d, "\n".join(rng.choice([f"order {rng.randrange(10**4):06d} shipped", f"{'ab' * rng.randint(4, 12)}", f"no {rng.randrange(300):05d}"]) for _ in range(8))) for d in range(40)]
+    assert len(check_lines(spark, rows, 2, run=run, sample=1, heavy_least=4)) > 30
+
+
+def test_letters_that_lower_case_makes_longer(spark):
+    rows = [(1, "The city of İstanbul is large and old"), (2, "The city of Istanbul is large and old"), (3, "THE CITY OF İZMİR IS LARGE AND OLD"), (4, "THE CITY OF İZMIR IS LARGE AND OLD")]
+    assert check_lines(spark, rows, 2) == {(2, 1), (4, 1)}
 
 
 def test_pipeline(spark, sf, texts):
