@@ -2,15 +2,15 @@
 
 A window is `WINDOW` consecutive words; every word that a window covers whose words also start anywhere else, in any
 document, goes. Blocks are made so that equal windows always meet: a window belongs to the block named by the least
-hash of its `GRAM`-word grams, and neighbouring windows with the same name form one stretch of words. A name that
+hash of its `GRAMS[0]`-word grams, and neighbouring windows with the same name form one stretch of words. A name that
 occurs at one place only cannot hold a repeated window, so first only names are counted; words follow only for the
-stretches whose name occurs again. In each block the distinct stretches are indexed, and each is parsed greedily
-against the whole block: a factor is the longest match at another place, factors of WINDOW words and more are duplicate
-spans, and the windows that cross a factor's end are checked one by one.
+stretches whose name occurs again. In each block the distinct stretches are indexed with all places of their windows, and
+each is parsed greedily against the whole block: a factor is the longest match at any other place, factors of WINDOW words
+and more are duplicate spans, and the windows that cross a factor's end are checked one by one.
 
-Equal stretches are counted before the shuffle and parsed once. A block with more than `BLOCK` distinct stretches is
-split by whole windows, whose equal ones are again combined before the shuffle, so no task holds an unbounded block.
-Long documents are read in steps of `STEP` windows.
+Equal stretches are counted before the shuffle and parsed once. A block with more than `BLOCK` windows is cut into blocks
+by longer grams in the same way, and parsed in the same way. The last grams are whole windows, each a stretch of its own,
+so such a block holds one distinct window and no task an unbounded block. Long documents are read in steps of `STEP` windows.
 
 Defined cases: a null text has no words; an empty document keeps the hash of an empty text; rows that repeat a text
 repeat all its windows, whether or not their identifiers are equal or null; an empty table gives an empty result;
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from netloom.llm.common import Stages, col, slices, table, texts
 
 WINDOW = 35
-GRAM = 8
-BLOCK = 2000
+GRAMS = (8, 20, 35)
+BLOCK = 1 << 15
 STEP = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -62,7 +62,7 @@ def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def stretches(words: list[bytes], window: int = WINDOW, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """(name, first window, windows, places): the last is 2 where the name's gram stands at two places or more."""
     out = []
     for at in range(0, len(words) - window + 1, STEP):
@@ -112,42 +112,75 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start, pa.int64()), pa.array(m, pa.int64()), pa.array(np.array(sid)), pa.array(s, pa.binary()).cast(pa.string())], ["doc_id", "h", "start", "m", "sid", "words"])
 
 
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = dict.fromkeys(("m", "sid", "off", "m2", "sid2"), pa.int64()) | {"words": pa.binary(), "n": pa.int64()}
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([c.cast(pa.string()) if c.type == pa.binary() else c for c in cols], [*kinds])
+
+
+def _cut_again(level: int):
+    """The stretches of each stretch (m, sid, words, n) by the grams of a level: m, sid, off, m2, sid2, words, n. Whole windows
+    are stretches of their own; words are given with the first of equal ones."""
+
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for m, sid, t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), strict=True):
+                words, seen = t.split(), set()
+                names, starts, sizes, _ = stretches(words, gram=GRAMS[level])
+                if GRAMS[level] == WINDOW:
+                    names, starts, sizes = np.repeat(names, sizes), np.concatenate([np.arange(a, a + k) for a, k in zip(starts, sizes, strict=True)]), np.ones(int(sizes.sum()), np.int64)
+                for name, start, size in zip(names.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+                    s = b" ".join(words[start : start + size + WINDOW - 1])
+                    own = xxhash.xxh3_64_intdigest(s)
+                    rows.append((m, sid, start, name, own - (own >> 63 << 64), None if (name, own) in seen else s, n))
+                    seen.add((name, own))
+                    if len(rows) == 4096:
+                        yield _parts(rows)
+                        rows = []
+            if rows:
+                yield _parts(rows)
+
+    return run
+
+
 def parse(block: list[tuple[bytes, int]], window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """Duplicate spans (first word, end word) of each of the block's distinct stretches, given with their counts."""
     ids: dict[bytes, int] = {}
     segs = [np.array([ids.setdefault(w, len(ids)) for w in s.split()], np.int32) for s, _ in block]
-    raw, size = [s.tobytes() for s in segs], 4 * window
-    index: dict[bytes, tuple] = {}  # window -> its first two places
-    for k, r in enumerate(raw):
-        for i in range(0, len(r) - size + 1, 4):
-            w = r[i : i + size]
-            seen = index.get(w)
-            if seen is None:
-                index[w] = (k, i)
-            elif len(seen) == 2:
-                index[w] = (*seen, k, i)
+    size, index = 4 * window, {}
+    # the number of each window's content; those of a stretch lie together, closed by a number that no window has
+    raw = [s.tobytes() for s in segs]
+    flat = [[index.setdefault(r[i : i + size], len(index)) for i in range(0, len(r) - size + 1, 4)] + [-1] for r in raw]
+    start = np.cumsum([0, *map(len, flat)])
+    flat = np.array([x for f in flat for x in f], np.int64)
+    order = np.argsort(flat, kind="stable")
+    first = np.searchsorted(flat[order], np.arange(len(index) + 1))
     out = []
-    for k, (r, (_, count)) in enumerate(zip(raw, block, strict=True)):
+    for k, (_, count) in enumerate(block):
         spans: list[tuple[int, int]] = []
-        if count > 1 and len(r) >= size:
-            out.append([(0, len(r) // 4)])
+        i, end = int(start[k]), int(start[k + 1]) - 1
+        if count > 1 and i < end:
+            out.append([(0, len(segs[k]))])
             continue
-        i = 0
-        while i + size <= len(r):
-            place = index[r[i : i + size]]
-            if len(place) == 2 and block[place[0]][1] == 1:
-                i += 4
+        while i < end:
+            places = order[first[flat[i]] : first[flat[i] + 1]]
+            places = places[places != i]
+            if not len(places):
+                i += 1
                 continue
-            other, j = place[2:] if len(place) == 4 and place[:2] == (k, i) else place[:2]
-            a, b = segs[k][i // 4 :], segs[other][j // 4 :]
-            n = min(len(a), len(b))
-            differ = np.flatnonzero(a[:n] != b[:n])
-            n = int(differ[0]) if len(differ) else n
-            if spans and spans[-1][1] >= i // 4:
-                spans[-1] = (spans[-1][0], i // 4 + n)
+            n = 1  # windows that match, at the places that match longest
+            while i + n < end:
+                places = places[flat[places + n] == flat[i + n]]
+                if not len(places):
+                    break
+                n += 1
+            at = i - int(start[k])
+            if spans and spans[-1][1] >= at:
+                spans[-1] = (spans[-1][0], at + n + window - 1)
             else:
-                spans.append((i // 4, i // 4 + n))
-            i += 4 * (n - window + 1)  # the first window that crosses the factor's end
+                spans.append((at, at + n + window - 1))
+            i += n  # the first window that crosses the factor's end
         out.append(spans)
     return out
 
@@ -199,6 +232,23 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["r_id"]) & (a["h"] == b["r_h"])
 
 
+def spans_of(distinct: DataFrame, stages: Stages, block: int, level: int = 0) -> DataFrame:
+    """m, sid, a, b: the words of each stretch that go. distinct: m, sid, words, n (times) of distinct stretches."""
+    parsed = lambda df: df.select("m", "sid", "words", "n").repartition("m").sortWithinPartitions("m").mapInArrow(_parsed, "m long, sid long, a long, b long")
+    if level == len(GRAMS) - 1:
+        return parsed(distinct)
+    windows = F.length("words") - F.length(F.replace("words", F.lit(" "))) - (WINDOW - 2)
+    large = stages.keep(distinct.groupBy("m").agg(F.sum(windows).alias("windows")).where(F.col("windows") > block).select(F.col("m").alias("large")))
+    small = parsed(distinct.join(large, F.col("m") == F.col("large"), "left_anti"))
+    if large.isEmpty():
+        return small
+    parts = stages.keep(distinct.join(large, F.col("m") == F.col("large")).select("m", "sid", "words", "n").mapInArrow(_cut_again(level + 1), "m long, sid long, off long, m2 long, sid2 long, words string, n long"))
+    own = parts.groupBy(F.col("m2").alias("m"), F.col("sid2").alias("sid")).agg(F.max("words").alias("words"), F.sum("n").alias("n"))
+    inner = spans_of(stages.keep(own), stages, block, level + 1).select(F.col("m").alias("p_m"), F.col("sid").alias("p_sid"), "a", "b")
+    again = parts.select("m", "sid", "off", "m2", "sid2").join(inner, (F.col("m2") == F.col("p_m")) & (F.col("sid2") == F.col("p_sid")))
+    return small.unionByName(again.select("m", "sid", (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b")))
+
+
 def duplicate_spans(docs: DataFrame, stages: Stages, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc_id, h, text. Returns digests of all rows, the documents with repeated names, and r_id, r_h, a, b: the
     words that go, as spans."""
@@ -209,18 +259,10 @@ def duplicate_spans(docs: DataFrame, stages: Stages, block: int = BLOCK) -> tupl
     wanted = runs.join(again, F.col("m") == F.col("again")).groupBy("doc_id", "h").agg(F.collect_set(F.struct("m", "start", "n")).alias("runs"))
     wanted = stages.keep(wanted.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "runs"))
     some = stages.keep(docs.join(wanted, _same(docs, wanted)).select("doc_id", "h", "text", "runs"))
+    stages.drop(wanted)
     segs = stages.keep(some.mapInArrow(_cut, f"doc_id {kind}, h long, start long, m long, sid long, words string"))
     distinct = stages.keep(segs.groupBy("m", "sid", "words").agg(F.count("*").alias("n")))
-    hot = stages.keep(distinct.groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") > block).select(F.col("m").alias("hot_m")))
-    cold = distinct.join(hot, F.col("m") == F.col("hot_m"), "left_anti")
-    spans = cold.select("m", "sid", "words", "n").repartition("m").sortWithinPartitions("m").mapInArrow(_parsed, "m long, sid long, a long, b long")
-    if not hot.isEmpty():
-        many = distinct.join(hot, F.col("m") == F.col("hot_m")).select("m", "sid", "n", F.split("words", " ").alias("w"))
-        many = many.select("m", "sid", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("i")).select("m", "sid", "n", "i", F.array_join(F.slice("w", F.col("i") + 1, F.lit(WINDOW)), " ").alias("win"))
-        twice = many.groupBy("win").agg(F.sum("n").alias("k")).where("k > 1").select(F.col("win").alias("twice"))
-        hits = many.join(twice, F.col("win") == F.col("twice")).select("m", "sid", F.col("i").cast("long").alias("a"), (F.col("i") + WINDOW).cast("long").alias("b"))
-        spans = spans.unionByName(hits)
-    spans = spans.select(F.col("m").alias("p_m"), F.col("sid").alias("p_sid"), "a", "b")
+    spans = spans_of(distinct, stages, block).select(F.col("m").alias("p_m"), F.col("sid").alias("p_sid"), "a", "b")
     found = segs.select("doc_id", "h", "start", "m", "sid").join(spans, (F.col("m") == F.col("p_m")) & (F.col("sid") == F.col("p_sid")))
     return digests.select("doc_id", "h", "n_words", "sha"), some.select("doc_id", "h", "text"), found.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 

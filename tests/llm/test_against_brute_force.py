@@ -229,7 +229,7 @@ def test_decontaminate_finds_edited_items(spark, sf, texts):
     assert plain <= {(r.doc_id, r.item_id) for r in registry.QUERIES["op2_decontaminate"](spark, sf).collect()}
 
 
-@pytest.mark.parametrize("block", [2000, 1])
+@pytest.mark.parametrize("block", [2000, 40, 1])
 def test_substring_dedup_on_dense_repeats(spark, block):
     rng = random.Random(5)
     runs = [[rng.choice("abc") + str(rng.randint(0, 3)) for _ in range(60)] for _ in range(6)]
@@ -241,7 +241,7 @@ def test_substring_dedup_on_dense_repeats(spark, block):
             a = rng.randint(0, 20)
             w += r[a : a + rng.randint(20, 40)] + [f"u{rng.randint(0, 9)}"] * rng.randint(0, 2)
         rows.append((d, " ".join(w)))
-    rows += [(60, "p q " * 50), (61, "p q " * 18), (62, "r " * 35)]
+    rows += [(60, "p q " * 50), (61, "p q " * 18), (62, "r " * 35), (63, "z " * 3000), (64, "z " * 40 + "y " + "z " * 40)]
     where = {}
     for d, t in rows:
         w = t.split()
