@@ -48,14 +48,16 @@ def check_limits(size: DataFrame, max_routes: int | None = None, max_path_asns:
     return size.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("the routing table is empty or too large")).cast("boolean")))
 
 
-def prefix_counts(routes: DataFrame) -> DataFrame:
-    """peer_id, family, n."""
-    return routes.groupBy("peer_id", "family").agg(F.count("*").alias("n"))
+def prefix_counts(routes: DataFrame, order: str = "family") -> DataFrame:
+    """peer_id, family, n, seen: the least `order` of the family's routes."""
+    return routes.groupBy("peer_id", "family").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
 
 
 def peer_metadata(counts: DataFrame, peers: DataFrame) -> DataFrame:
-    """Sessions with routes: families and a map of prefix counts. peers: peer_id, peer_index."""
-    per = counts.groupBy("peer_id").agg(F.array_sort(F.collect_list("family")).alias("families"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("family").cast("string"), "n")))).alias("prefix_counts"))
+    """Sessions with routes: families in the order in which they were seen, and a map of prefix counts. peers: peer_id,
+    peer_index."""
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("seen", "family"))), lambda x: x["family"])
+    per = counts.groupBy("peer_id").agg(seen.alias("families"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("family").cast("string"), "n")))).alias("prefix_counts"))
     return peers.join(per, "peer_id")
 
 
@@ -111,6 +113,14 @@ def with_comparison(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.withColumns({"trunk": only(pf.trunk(a, b)), "branch_a": only(pf.branch(a, b)), "branch_b": only(pf.branch(b, a)), "later_common": only(pf.later_common(a, b)), "relation": only(pf.comparison(a, b))})
 
 
+def pick_observer(a: DataFrame, key: dict, order: str) -> DataFrame:
+    """The first row, by `order`, of the observer that a key names."""
+    own = a
+    for c, v in key.items():
+        own = own.where(F.col(c) == v)
+    return own.orderBy(order).limit(1)
+
+
 def shared_observers(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of a whose observer also occurs in b, the first by `order` of each observer."""
     shared = a.join(b.select(*keys).distinct(), keys, "left_semi")

@@ -115,6 +115,13 @@ def members(membership: DataFrame, degree: DataFrame, info: DataFrame, orgs: Dat
     return j.select("asn", "grp", F.coalesce("name", F.concat(F.lit("AS"), F.col("asn"))).alias("name"), F.coalesce("org_name", F.lit(UNKNOWN)).alias("organization"), F.coalesce("org_country", F.lit("")).alias("country"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def ranked_members(membership: DataFrame, degree: DataFrame, org_of: DataFrame) -> DataFrame:
+    """grp, asn, degree, in_seed_org: whether a member belongs to the organization of its group's best-connected one."""
+    known = membership.join(degree, "asn", "left").join(org_of.select("asn", "org_id"), "asn", "left").select("grp", "asn", F.coalesce("degree", F.lit(0)).alias("degree"), "org_id")
+    seed = known.groupBy("grp").agg(F.max_by("org_id", F.struct("degree", -F.col("asn"))).alias("seed_org"))
+    return known.join(seed, "grp").select("grp", "asn", "degree", F.coalesce(F.col("org_id") == F.col("seed_org"), F.lit(False)).alias("in_seed_org"))
+
+
 def visible_members(ranked: DataFrame, first: int = 24, top: int = 96, most: int = 120) -> DataFrame:
     """The first of a group's seed organization, then its top members, without repeats, in that order.
 

@@ -89,14 +89,21 @@ def q05(spark, sf_dir):
     return t.select("event_id", "text", "value", ipf.v4_text(F.col("value")).alias("round_trip"))
 
 
-@query("q06_ipv6_text", """WITH t AS (SELECT event_id, [CASE WHEN (event_id >> i) % 3 = 0 THEN 0 ELSE (event_id * (i + 7)) % 65536 END FOR i IN range(8)] AS g FROM events)
-SELECT event_id, list_aggregate([format('{:04x}', x) FOR x IN g], 'string_agg', '') AS addr, true AS same FROM t""")
+#: Text of a list of eight groups (column hs of hexadecimal texts): the first longest run of two and more zeros is left out.
+V6 = """z AS (SELECT *, list_transform(range(1, 9), lambda i: CASE WHEN hs[i] = '0' THEN list_min(list_filter(range(i, 10), lambda j: j = 9 OR hs[j] <> '0')) - i ELSE 0 END) AS runs FROM {0}),
+best AS (SELECT *, list_max(runs) AS most, list_position(runs, list_max(runs)) AS pos FROM z)"""
+
+
+@query("q06_ipv6_text", f"""WITH t AS (SELECT event_id, [CASE WHEN (event_id >> i) % 3 = 0 THEN 0 ELSE (event_id * (i + 7)) % 65536 END FOR i IN range(8)] AS g FROM events),
+h AS (SELECT event_id, g, [format('{{:x}}', x) FOR x IN g] AS hs FROM t), {V6.format('h')}
+SELECT event_id, list_aggregate([format('{{:04x}}', x) FOR x IN g], 'string_agg', '') AS addr,
+  CASE WHEN most < 2 THEN array_to_string(hs, ':') ELSE array_to_string(hs[1:pos - 1], ':') || '::' || array_to_string(hs[pos + most:], ':') END AS text FROM best""")
 def q06(spark, sf_dir):
+    """Eight groups in full, parsed, and written in the canonical form."""
     groups = F.array(*[F.expr(f"if((shiftright(event_id, {i})) % 3 = 0, 0L, (event_id * {i + 7}) % 65536)") for i in range(8)])
     long = F.array_join(F.transform(groups, lambda g: F.lower(F.hex(g))), ":")
     t = table(spark, sf_dir, "events").select("event_id", ipf.parse_ip(long)["addr"].alias("addr"))
-    back = ipf.parse_ip(ipf.format_ip(F.lit(6), F.col("addr")))["addr"]
-    return t.select("event_id", "addr", (back == F.col("addr")).alias("same"))
+    return t.select("event_id", "addr", ipf.format_ip(F.lit(6), F.col("addr")).alias("text"))
 
 
 @query("q07_collapse_paths", f"WITH {PATHS} SELECT id, array_to_string(path, ',') AS path, CAST(greatest(len(path) - 1, 0) AS BIGINT) AS hops FROM flat WHERE path IS NOT NULL")
@@ -137,7 +144,7 @@ def q11(spark, sf_dir):
 TILES = """
 o AS (SELECT asn, grp, row_number() OVER (PARTITION BY grp ORDER BY asn) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM m),
 b AS (SELECT *, n // CAST(ceil(n / 240.0) AS BIGINT) AS base, n % CAST(ceil(n / 240.0) AS BIGINT) AS rest FROM o),
-t AS (SELECT asn, grp, grp || '-c' || lpad(CAST(1 + CASE WHEN pos < rest * (base + 1) THEN pos // (base + 1) ELSE rest + (pos - rest * (base + 1)) // base END AS VARCHAR), 3, '0') AS tile FROM b)
+t AS (SELECT asn, grp, grp || '-c' || format('{:03d}', 1 + CASE WHEN pos < rest * (base + 1) THEN pos // (base + 1) ELSE rest + (pos - rest * (base + 1)) // base END) AS tile FROM b)
 """
 
 
@@ -193,7 +200,20 @@ def q14_histogram(spark, sf_dir):
     return distances(spark, sf_dir).groupBy(*big("distance")).agg(F.count("*").alias("n"))
 
 
-@query("q14_bfs_order")
+#: Inside groups: adj_, degree of all, components, distance within a component from its best node, and the queue's order.
+ORDER = f"""WITH RECURSIVE {EDGES}, {GROUPS}, i AS (SELECT a AS x, b AS y FROM placed WHERE ga = gb UNION SELECT b, a FROM placed WHERE ga = gb),
+r(asn, low) AS (SELECT asn, asn FROM m UNION SELECT i.y, r.low FROM r JOIN i ON r.asn = i.x), c AS (SELECT asn, min(low) AS component FROM r GROUP BY asn),
+n AS (SELECT m.grp, m.asn, component, coalesce(degree, 0) AS degree FROM m JOIN c ON m.asn = c.asn LEFT JOIN deg ON m.asn = deg.asn),
+s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, asn) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY degree DESC, asn) AS k FROM n) WHERE k = 1),
+f0(asn, distance) AS (SELECT asn, 0 FROM s UNION SELECT i.y, f0.distance + 1 FROM f0 JOIN i ON f0.asn = i.x WHERE f0.distance < 12),
+far AS (SELECT asn, min(distance) AS distance FROM f0 GROUP BY asn),
+q(component, asn, level, place) AS (SELECT component, asn, 0, CAST(1 AS BIGINT) FROM s
+  UNION ALL SELECT component, asn, level, row_number() OVER (PARTITION BY component ORDER BY parent, degree DESC, asn) FROM
+  (SELECT q.component, i.y AS asn, q.level + 1 AS level, min(q.place) AS parent, any_value(n.degree) AS degree FROM q JOIN i ON q.asn = i.x JOIN far ON far.asn = i.y AND far.distance = q.level + 1 JOIN n ON n.asn = i.y GROUP BY q.component, i.y, q.level)),
+bfs AS (SELECT s.grp, q.asn, row_number() OVER (PARTITION BY s.grp ORDER BY s.rank, q.level, q.place) - 1 AS position FROM q JOIN s ON q.component = s.component)"""
+
+
+@query("q14_bfs_order", f"{ORDER} SELECT grp, asn, position FROM bfs")
 def q14_order(spark, sf_dir):
     m = views.membership(spark, sf_dir)
     placed = topo.with_groups(views.edges(spark, sf_dir), m).where("ga = gb")
@@ -220,14 +240,17 @@ def q17(spark, sf_dir):
     return topo.external_neighbours(topo.adjacency(views.edges(spark, sf_dir)), views.membership(spark, sf_dir))
 
 
-@query("q18_visible_members", f"""WITH {EDGES}, {GROUPS}, r AS (SELECT grp, m.asn, coalesce(degree, 0) AS degree, m.asn < 100000 AS own FROM m LEFT JOIN deg ON m.asn = deg.asn),
+SEED_ORG = "so AS (SELECT grp, org_id FROM (SELECT m.grp, org_id, row_number() OVER (PARTITION BY m.grp ORDER BY degree DESC, m.asn) AS n FROM m JOIN deg ON m.asn = deg.asn JOIN info ON m.asn = info.asn) WHERE n = 1)"
+
+
+@query("q18_visible_members", f"""WITH {EDGES}, {GROUPS}, {ORGS}, {SEED_ORG}, r AS (SELECT m.grp, m.asn, coalesce(degree, 0) AS degree, coalesce(info.org_id = so.org_id, false) AS own FROM m LEFT JOIN deg ON m.asn = deg.asn LEFT JOIN info ON m.asn = info.asn JOIN so ON m.grp = so.grp),
 a AS (SELECT grp, asn, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, asn) AS p FROM r WHERE own), b AS (SELECT grp, asn, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, asn) AS p FROM r),
 u AS (SELECT grp, asn, min(p) AS p FROM (SELECT * FROM a WHERE p <= 24 UNION ALL SELECT grp, asn, p + 24 FROM b WHERE p <= 96) GROUP BY grp, asn)
 SELECT * FROM (SELECT grp, asn, row_number() OVER (PARTITION BY grp ORDER BY p) AS position FROM u) WHERE position <= 120""")
 def q18(spark, sf_dir):
+    m, info = views.membership(spark, sf_dir), views.as_info(spark, sf_dir).select("asn", "org_id")
     d = topo.degrees(topo.adjacency(views.edges(spark, sf_dir)))
-    ranked = views.membership(spark, sf_dir).join(d, "asn", "left").select("grp", "asn", F.coalesce("degree", F.lit(0)).alias("degree"), (F.col("asn") < 100000).alias("in_seed_org"))
-    return topo.visible_members(ranked).select("grp", "asn", *big("position"))
+    return topo.visible_members(topo.ranked_members(m, d, info)).select("grp", "asn", *big("position"))
 
 
 @query("q19_top_links", f"""WITH {EDGES}, {GROUPS} SELECT * FROM (SELECT ga AS grp, a, b, CAST(rel AS BIGINT) AS rel, x.degree + y.degree AS weight, row_number() OVER (PARTITION BY ga ORDER BY x.degree + y.degree DESC, a, b) AS position
@@ -331,9 +354,24 @@ def q28(spark, sf_dir):
     return graph.merge_step(views.edges(spark, sf_dir), views.membership(spark, sf_dir))
 
 
-@query("q28_merge_communities")
+@query("q28_merge_communities", f"""WITH RECURSIVE {EDGES}, f AS (SELECT s_suppkey AS asn, s_nationkey AS c FROM supplier UNION ALL SELECT 100000 + p_partkey, 25 + p_size FROM part),
+sizes AS (SELECT c, count(*) AS size, min(asn) AS low FROM f GROUP BY c),
+pairs AS (SELECT c1, c2, count(*) AS n FROM (SELECT x.c AS c1, y.c AS c2 FROM edges JOIN f x ON a = x.asn JOIN f y ON b = y.asn UNION ALL SELECT y.c, x.c FROM edges JOIN f x ON a = x.asn JOIN f y ON b = y.asn) GROUP BY ALL),
+merged(step, c, cur) AS (SELECT 0, c, c FROM sizes UNION ALL
+  SELECT step, c, CASE WHEN cur = small THEN target ELSE cur END FROM (
+    SELECT s.step + 1 AS step, s.c, s.cur, t.small, t.target FROM merged s, (
+      SELECT k.small, arg_max(o.cur, (o.n, o.size, -o.low)) AS target FROM
+        (SELECT arg_min(cur, (size, low)) AS small, count(*) AS left_ FROM (SELECT cur, sum(size) AS size, min(low) AS low FROM merged JOIN sizes ON merged.c = sizes.c GROUP BY cur)) k,
+        (SELECT g.cur, e.from_, e.n, g.size, g.low FROM (SELECT cur, sum(size) AS size, min(low) AS low FROM merged JOIN sizes ON merged.c = sizes.c GROUP BY cur) g JOIN
+          (SELECT x.cur AS from_, y.cur AS to_, sum(p.n) AS n FROM pairs p JOIN merged x ON p.c1 = x.c JOIN merged y ON p.c2 = y.c WHERE x.cur <> y.cur GROUP BY x.cur, y.cur) e ON g.cur = e.to_) o
+      WHERE o.from_ = k.small AND k.left_ > 20 GROUP BY k.small) t)),
+done AS (SELECT c, cur FROM merged WHERE step = (SELECT max(step) FROM merged))
+SELECT asn, CAST(cur AS BIGINT) AS grp FROM f JOIN done ON f.c = done.c""")
 def q28_merge(spark, sf_dir):
-    return graph.merge_communities(views.edges(spark, sf_dir), views.membership(spark, sf_dir), 4)
+    """Communities by nation and by size, merged until 20 are left."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asn"), F.col("s_nationkey").cast("bigint").alias("grp"))
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") + 100000).alias("asn"), (F.col("p_size") + 25).cast("bigint").alias("grp"))
+    return graph.merge_communities(views.edges(spark, sf_dir), s.unionByName(p), 20)
 
 
 @query("q28_label_propagation")
@@ -359,7 +397,7 @@ def q30_overview(spark, sf_dir):
     return topology_build(spark, sf_dir)["overview"]
 
 
-@query("q31_distance_maps")
+@query("q31_distance_maps", f"""{DISTANCES}, h AS (SELECT distance, count(*) AS n FROM f GROUP BY distance) SELECT 'g01' AS grp, '{{' || string_agg('"' || distance || '":' || n, ',' ORDER BY distance) || '}}' AS distances FROM h""")
 def q31(spark, sf_dir):
     return topo.distance_histogram(distances(spark, sf_dir)).select("grp", F.to_json("distances").alias("distances"))
 

@@ -72,7 +72,7 @@ flat AS (SELECT id, list_filter(path, lambda v, i: i = 1 OR v <> path[i - 1]) AS
 
 def edge_rows(spark, sf_dir):
     """Relationship rows with line numbers; one pair may have several."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    l = table(spark, sf_dir, "lineitem")
     return l.select(F.expr("if(l_linenumber % 2 = 0, l_suppkey, 100000 + l_partkey)").alias("a"), F.expr("if(l_linenumber % 2 = 0, 100000 + l_partkey, l_suppkey)").alias("b"), F.expr("if(l_returnflag = 'N', 0, -1)").alias("rel"), F.expr("l_orderkey * 10 + l_linenumber").alias("line_no"))
 
 
@@ -83,22 +83,22 @@ def edges(spark, sf_dir):
 
 
 def membership(spark, sf_dir):
-    """Suppliers by nation, parts by size, as groups g01 to g10."""
+    """Suppliers by nation, parts by size, as groups g01 to g05 of unlike sizes, each with several tiles."""
     grp = lambda k: F.format_string("g%02d", k)
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asn"), grp(F.expr("CAST(s_nationkey % 10 + 1 AS int)")).alias("grp"))
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") + 100000).alias("asn"), grp(F.expr("CAST(p_size % 10 + 1 AS int)")).alias("grp"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asn"), grp(F.expr("CAST(s_nationkey % 5 + 1 AS int)")).alias("grp"))
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") + 100000).alias("asn"), grp(F.expr("CAST(p_size % 12 % 5 + 1 AS int)")).alias("grp"))
     return s.unionByName(p)
 
 
 EDGES = """
 rows_ AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey ELSE 100000 + l_partkey END AS a, CASE WHEN l_linenumber % 2 = 0 THEN 100000 + l_partkey ELSE l_suppkey END AS b,
-  CASE WHEN l_returnflag = 'N' THEN 0 ELSE -1 END AS rel, l_orderkey * 10 + l_linenumber AS line_no FROM lineitem WHERE l_quantity >= 49),
+  CASE WHEN l_returnflag = 'N' THEN 0 ELSE -1 END AS rel, l_orderkey * 10 + l_linenumber AS line_no FROM lineitem),
 edges AS (SELECT a, b, rel FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY line_no, a, b, rel) AS n FROM rows_) WHERE n = 1),
 adj AS (SELECT a AS asn, b AS nbr, CASE WHEN rel = 0 THEN 'peer' ELSE 'customer' END AS role FROM edges UNION ALL SELECT b, a, CASE WHEN rel = 0 THEN 'peer' ELSE 'provider' END FROM edges),
 deg AS (SELECT asn, count(DISTINCT nbr) AS degree FROM adj GROUP BY asn)
 """
 GROUPS = """
-m AS (SELECT s_suppkey AS asn, 'g' || lpad(CAST(s_nationkey % 10 + 1 AS VARCHAR), 2, '0') AS grp FROM supplier UNION ALL SELECT 100000 + p_partkey, 'g' || lpad(CAST(p_size % 10 + 1 AS VARCHAR), 2, '0') FROM part),
+m AS (SELECT s_suppkey AS asn, 'g0' || (s_nationkey % 5 + 1) AS grp FROM supplier UNION ALL SELECT 100000 + p_partkey, 'g0' || (p_size % 12 % 5 + 1) FROM part),
 placed AS (SELECT e.*, x.grp AS ga, y.grp AS gb FROM edges e JOIN m x ON e.a = x.asn JOIN m y ON e.b = y.asn)
 """
 
@@ -110,11 +110,13 @@ def organizations(spark, sf_dir):
 
 
 def as_info(spark, sf_dir):
-    """asn, name, org_id of suppliers."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asn"), F.col("s_name").alias("name"), F.concat(F.lit("ORG-"), F.col("s_nationkey")).alias("org_id"))
+    """asn, name, org_id of suppliers, and of two parts in three; the rest are unknown."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asn"), F.col("s_name").alias("name"), F.concat(F.lit("ORG-"), F.col("s_nationkey")).alias("org_id"))
+    p = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select((F.col("p_partkey") + 100000).alias("asn"), F.col("p_name").alias("name"), F.concat(F.lit("ORG-"), F.col("p_partkey") % 25).alias("org_id"))
+    return s.unionByName(p)
 
 
 ORGS = """
 orgs AS (SELECT 'ORG-' || n_nationkey AS org_id, n_name AS name, r_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0),
-info AS (SELECT s_suppkey AS asn, s_name AS name, 'ORG-' || s_nationkey AS org_id FROM supplier)
+info AS (SELECT s_suppkey AS asn, s_name AS name, 'ORG-' || s_nationkey AS org_id FROM supplier UNION ALL SELECT 100000 + p_partkey, p_name, 'ORG-' || (p_partkey % 25) FROM part WHERE p_partkey % 3 <> 0)
 """

@@ -1,6 +1,6 @@
 import pytest
 
-from netloom.plans import catalog
+from netloom.plans import catalog, catalog_more  # noqa: F401
 from tests.oracle import same
 
 
