@@ -13,7 +13,8 @@ group hands on a spanning star per component, fewer links than it has members, n
 that both texts' prefixes hold (shingles that many texts hold come last in their order), bounds on what two sets can share
 leave few pairs, and those are counted. A key's first few nodes meet all its others first; what is then one group is not
 compared again, and all other pairs of a key are. So only keys whose many nodes are not similar cost the square of their
-number, in comparing 512 bits each.
+number, in comparing 512 bits each; a key of more than `RUN` nodes is dealt in pieces, and each pair of pieces is compared
+in a task. Before sets are fetched, pairs are told apart by parities of two bits and more for each member.
 
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like others; rows
 with one identifier share their component only through their fingerprints; a null identifier never becomes a
@@ -168,6 +169,7 @@ WORDS, SIMILARITY = 5, 0.8
 PARITY = 512
 CENTRES = 4
 SAMPLE, OFTEN, MOST_OFTEN = 16, 16, 1 << 18
+RUN = 1 << 12
 PAIR_CELLS = 1 << 18
 SLOTS = 1 << 24
 SLACK = 1e-9
@@ -182,9 +184,20 @@ def shingle_hashes(text: bytes, shingle: int = WORDS) -> tuple[int, np.ndarray]:
     return int(node), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
-def parity(h: np.ndarray) -> bytes:
-    """PARITY bits, each whether an odd number of members fall on it. Two sets differ in at least as many members as bits."""
-    return np.packbits(np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1 > 0).tobytes()
+def parity(h: np.ndarray, size: int = PARITY) -> bytes:
+    """`size` bits, each whether an odd number of members fall on it. Two sets differ in at least as many members as bits."""
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 > 0, bitorder="little").tobytes()
+
+
+def wide_parity(h: np.ndarray) -> bytes:
+    """A power of two of bits, at least two for each member, so that sets of any size are told apart."""
+    return parity(h, max(PARITY, 1 << (2 * len(h) - 1).bit_length()))
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """How many bits two parities differ in; the longer one is folded to the size of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
 def _members(batches):
@@ -211,9 +224,9 @@ def prefix(h: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
 def _prefixes(last: np.ndarray, similarity: float):
     def run(batches):
         for b in slices(batches):
-            nodes, sets = zip(*map(shingle_hashes, texts(b.column(1))), strict=True)
-            columns = [pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([prefix(h, last, similarity).tobytes() for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "node", "n", "bits", "prefix"])
+            nodes, sets = zip(*map(shingle_hashes, texts(b.column(2))), strict=True)
+            columns = [pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([wide_parity(h) for h in sets], pa.binary()), pa.array([prefix(h, last, similarity).tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["id", "source", "node", "n", "bits", "wide", "prefix"])
 
     return run
 
@@ -228,16 +241,13 @@ def _keys(batches):
 
 
 def _sets(slots: np.ndarray):
-    """Nodes and sets of the texts whose node's slot is marked."""
+    """Nodes and sets of the texts whose own hash has its slot marked; no other text is read."""
 
     def run(batches):
         for b in slices(batches):
-            out = []
-            for t in texts(b.column(0)):
-                at = xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) % SLOTS
-                if slots[at >> 3] >> (at & 7) & 1:
-                    node, h = shingle_hashes(t)
-                    out.append((node, h.tobytes()))
+            at = b.column(0).to_numpy() % SLOTS
+            some = b.column(1).filter(pa.array(slots[at >> 3] >> (at & 7) & 1 > 0))
+            out = [(node, h.tobytes()) for node, h in map(shingle_hashes, texts(some))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "members"])
 
     return run
@@ -264,12 +274,15 @@ def _shared(batches):
 
 def _pairs(similarity: float, rest_of: bool):
     """Rows sorted by (key, node): pairs that no exact bound excludes, of each row with its run's CENTRES first, or (rest_of)
-    of all others of different groups. A run is compared in blocks."""
+    of all others of different groups. A run holds at most two pieces of RUN rows or so, and is compared in blocks."""
 
     def near(x, y):
-        """x, y: (node, rest, n, bits, group) of two blocks; pairs of rows as indices."""
+        """x, y: (node, rest, n, bits, group, side) of two blocks; pairs of rows as indices. A run of two pieces has their
+        rows on sides 0 and 1 and is compared across, one of a single piece has side -1."""
         both = x[2][:, None] + y[2][None, :]
         ok = (x[0][:, None] < y[0][None, :]) & (x[4][:, None] != y[4][None, :])
+        if x[5][0] >= 0:
+            ok &= x[5][:, None] != y[5][None, :]
         # what is left of both from their first common member on holds all that they share
         ok &= np.minimum(x[1][:, None], y[1][None, :]) >= both * (similarity / (1 + similarity)) - SLACK
         i, j = np.nonzero(ok)
@@ -280,9 +293,9 @@ def _pairs(similarity: float, rest_of: bool):
         size = len(run[0])
         if not rest_of:
             yield near([c[:CENTRES] for c in run], run)
-        elif size > CENTRES + 1 and (run[4] != run[4][0]).any():
+        elif (run[4] != run[4][0]).any():
             step = max(1, PAIR_CELLS // size)
-            for i in range(CENTRES, size, step):
+            for i in range(0, size, step):
                 yield near([c[i : i + step] for c in run], [c[i:] for c in run])
 
     def batch(found):
@@ -293,7 +306,7 @@ def _pairs(similarity: float, rest_of: bool):
         left = None
         for b in batches:
             bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, PARITY // 64)
-            now = [b.column(i).to_numpy() for i in (0, 1, 2, 3)] + [bits, b.column(5).to_numpy()]
+            now = [b.column(i).to_numpy() for i in (0, 1, 2, 3)] + [bits, b.column(5).to_numpy(), b.column(6).to_numpy()]
             left = now if left is None else [np.concatenate(c) for c in zip(left, now, strict=True)]
             if not len(left[0]) or left[0][0] == left[0][-1]:
                 continue
@@ -319,6 +332,17 @@ def _pairs(similarity: float, rest_of: bool):
     return run
 
 
+def _alike(similarity: float):
+    """Pairs whose parities do not exclude that their sets are similar."""
+
+    def run(batches):
+        for b in slices(batches):
+            good = [differing(x, y) <= (m + n) * ((1 - similarity) / (1 + similarity)) + SLACK for m, n, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    return run
+
+
 def _similar(similarity: float):
     """Pairs whose sets are similar, counted."""
 
@@ -334,74 +358,82 @@ def _similar(similarity: float):
     return run
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, often_least: int = OFTEN) -> DataFrame:
-    """doc_id, component_id for each row: components of documents whose sets of five-word shingles have a Jaccard
-    similarity of at least `similarity`, counted for texts of any length."""
-    stages = Stages(df.sparkSession, "similar")
+def similar_links(df: DataFrame, stages: Stages, id_col: str, text_col: str, similarity: float = SIMILARITY, often_least: int = OFTEN, run: int = RUN) -> DataFrame:
+    """a, b: pairs of identifiers that connect exactly the documents which chains of similar shingle sets connect."""
     kind = df.schema[id_col].dataType.simpleString()
-    told = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    rows = stages.keep(told.mapInArrow(_prefixes(often(told, least=often_least), similarity), f"id {kind}, node long, n int, bits binary, prefix binary"))
-    # rows of one node have the same words, so the same set
-    nodes = stages.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("n", "bits")).alias("x")).select("node", "least", "x.*"))
+    told = df.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("source"), col(text_col).cast("string").alias("text"))
+    rows = stages.keep(told.mapInArrow(_prefixes(often(told, least=often_least), similarity), f"id {kind}, source long, node long, n int, bits binary, wide binary, prefix binary"))
+    # rows of one node have the same words, so the same set; one of their texts serves to make it anew
+    nodes = stages.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("source").alias("source"), F.min(F.struct("n", "bits", "wide")).alias("x")).select("node", "least", "source", "x.*"))
     keyed = rows.select("node", "n", "prefix").mapInArrow(_keys, "key long, node long, rest int")
     shared = stages.keep(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, rest int"))
+    # a key of many nodes is dealt in pieces, each key in its own way
+    large = stages.keep(shared.groupBy("key").agg(F.ceil(F.count("*") / F.lit(run)).alias("pieces")).where("pieces > 1").select(F.col("key").alias("l_key"), "pieces"))
+    dealt = shared.join(large, F.col("key") == F.col("l_key"), "left").selectExpr("key", "node", "rest", "pieces", "pmod(xxhash64(key, node), pieces) AS piece")
 
     def met(rows_of: DataFrame, groups: DataFrame, rest_of: bool) -> DataFrame:
         """Pairs of different groups that meet under a key and may be similar."""
-        placed = rows_of.join(nodes.select("node", "n", "bits"), "node").join(groups, "node").select("key", "node", "rest", "n", "bits", "grp")
+        placed = rows_of.join(nodes.select("node", "n", "bits"), "node").join(groups, "node").select("key", "node", "rest", "n", "bits", "grp", "side")
         return stages.keep(placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(similarity, rest_of), "a long, b long").distinct())
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs that their parities, two bits and more for each member, do not tell apart: nearly all are similar."""
+        of = nodes.select("node", "n", "wide")
+        both = pairs.join(of.toDF("a", "n_a", "wide_a"), "a").join(of.toDF("b", "n_b", "wide_b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+        return stages.keep(both.mapInArrow(_alike(similarity), "a long, b long"))
+
     def counted(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar. Sets are made anew for texts that are needed, so that few are moved."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).select(F.pmod("end", F.lit(SLOTS)).alias("slot"))
+        pairs = alike(pairs)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "source"), "node").select(F.pmod("source", F.lit(SLOTS)).alias("slot"))
         words = ends.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 31 AS int)))").alias("v"))
         slots = np.zeros(SLOTS // 32, np.uint32)
         for r in words.toLocalIterator():
             slots[r.w] = r.v
         if not slots.any():
             return pairs
-        sets = told.select("text").mapInArrow(_sets(slots.view(np.uint8)), "node long, members binary").dropDuplicates(["node"])
-        sets = stages.keep(sets)
+        sets = told.select("source", "text").mapInArrow(_sets(slots.view(np.uint8)), "node long, members binary")
+        sets = stages.keep(sets.dropDuplicates(["node"]))
         both = pairs.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b").select("a", "b", "members_a", "members_b")
         out = stages.keep(both.mapInArrow(_similar(similarity), "a long, b long"))
-        stages.drop(sets)
+        stages.drop(sets, pairs)
         return out
 
-    def grouped(edges: DataFrame) -> DataFrame:
-        roots = components(edges, stages).toDF("r_node", "root")
-        return stages.keep(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("grp")))
-
-    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        return stages.keep(pairs.join(groups.toDF("a", "grp_a"), "a").join(groups.toDF("b", "grp_b"), "b").where("grp_a <> grp_b").select("a", "b"))
-
-    # each key's few centres with all its nodes: of each node one pair first, then those that are still apart
+    # each piece's few centres with all its nodes
     alone = nodes.select("node", F.col("node").alias("grp"))
-    pairs = met(shared, alone, False)
-    edges = counted(stages.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    edges = edges.union(counted(apart(pairs, grouped(edges))))
-    # of larger keys whose nodes are still in several groups, every pair
-    groups = grouped(edges)
-    mixed = shared.join(groups, "node").groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).where(f"n > {CENTRES + 1} AND low <> high").select("key")
-    pairs = met(shared.join(mixed, "key", "left_semi"), groups, True)
-    more = counted(stages.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    edges = edges.union(more)
-    edges = edges.union(counted(apart(pairs, grouped(edges))))
+    pieces = dealt.selectExpr("if(pieces IS NULL, key, xxhash64(key, piece)) AS key", "node", "rest", "-1 AS side")
+    edges = counted(met(pieces, alone, False))
+    # of keys whose nodes are still in several groups, every pair: each piece with itself and with every other piece
     roots = components(edges, stages).toDF("r_node", "root")
-    labelled = stages.keep(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    labels = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("l_node"), "component_id")
-    return rows.select("id", "node").join(labels, F.col("node") == F.col("l_node")).select(F.col("id").alias("doc_id"), "component_id")
+    groups = stages.keep(nodes.join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("grp")))
+    mixed = shared.join(groups, "node").groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).where(f"n > {CENTRES + 1} AND low <> high").select("key")
+    whole = dealt.join(mixed, "key", "left_semi").selectExpr("key", "node", "rest", "pieces", "piece", "explode(if(pieces IS NULL, array(0L), sequence(0L, pieces - 1))) AS other")
+    cells = whole.selectExpr("if(pieces IS NULL, key, xxhash64(key, least(piece, other), greatest(piece, other))) AS key", "node", "rest", "CASE WHEN pieces IS NULL OR piece = other THEN -1 WHEN piece < other THEN 0 ELSE 1 END AS side")
+    edges = edges.union(counted(met(cells, groups, True)))
+    least = nodes.select("node", "least")
+    texts_of = edges.join(least.toDF("a", "least_a"), "a").join(least.toDF("b", "least_b"), "b").select("least_a", "least_b")
+    same = rows.select("id", "node").join(least, "node").where("id <> least").select("id", "least")
+    return texts_of.union(same).toDF("a", "b")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """df's rows of which each group keeps the document with its smallest identifier; rows without one stay. Documents
     are in one group if chains of close fingerprints (LINK_BITS) or of similar shingle sets (SIMILARITY) connect them."""
     stages = Stages(df.sparkSession, "groups")
-    links = [f(df, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id") for f in (simhash_components, similar_components)]
-    roots = components(links[0].union(links[1]), stages)
+    close = simhash_components(df, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id")
+    roots = components(close.union(similar_links(df, stages, id_col, text_col, **parameters)), stages)
     (key,) = fresh(df, "x_drop")
     drop = stages.keep(roots.where("node <> root").select(F.col("node").alias(key)).distinct())
     return df.join(drop, col(id_col) == F.col(key), "left_anti")
 
 
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """doc_id, component_id for each row: components of documents whose sets of five-word shingles have a Jaccard
+    similarity of at least `similarity`, counted for texts of any length."""
+    stages = Stages(df.sparkSession, "similar")
+    roots = components(similar_links(df, stages, id_col, text_col, **parameters), stages).toDF("r_id", "root")
+    return df.select(col(id_col).alias("doc_id")).join(roots, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def op1_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
