@@ -16,14 +16,13 @@ ROUNDS = 200
 
 def distances(starts: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """grp, asn, distance from the group's start along edges within the group. starts: grp, asn; adj: grp, asn, nbr."""
-    found = cut(starts.select("grp", "asn", F.lit(0).alias("distance")))
-    front = found
-    for d in range(1, rounds):
+    front = found = cut(starts.select("grp", "asn", F.lit(0).alias("distance")))
+    for d in range(1, rounds):  # each level is written once; what was found is the union of the levels
         new = front.join(adj, ["grp", "asn"]).select("grp", F.col("nbr").alias("asn")).distinct().join(found, ["grp", "asn"], "left_anti")
         front = cut(new.withColumn("distance", F.lit(d)))
         if front.isEmpty():
             return found
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)
     raise RuntimeError(f"distances did not end in {rounds} rounds")
 
 
@@ -48,7 +47,8 @@ def breadth_first(nodes: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> Dat
     highest degree, neighbours by (-degree, asn), further components by their best node.
 
     nodes: grp, asn, degree; adj: grp, asn, nbr within groups. The queue's order is by component, level, the earliest
-    parent's place, then (-degree, asn): each level is one join and one window within groups.
+    parent's place, then (-degree, asn): each level is one join and one window within a component's level. A position is a
+    place plus the sizes of all earlier levels, so no window holds a whole group.
     """
     nodes = cut(nodes.select("grp", "asn", "degree"))
     adj = cut(adj.select("grp", "asn", "nbr").distinct())
@@ -66,11 +66,13 @@ def breadth_first(nodes: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> Dat
         front = cut(new.select("grp", "component", "asn", F.lit(level).alias("level"), F.row_number().over(turn).alias("place")))
         if front.isEmpty():
             break
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)
     else:
         raise RuntimeError(f"the search did not end in {rounds} rounds")
-    whole = Window.partitionBy("grp").orderBy("rank", "level", "place")
-    return found.join(ranked.select("grp", "component", "rank"), ["grp", "component"]).select("grp", "asn", (F.row_number().over(whole) - 1).alias("position"))
+    sizes = found.groupBy("grp", "component", "level").agg(F.count("*").alias("n")).join(ranked.select("component", "rank"), "component")
+    before = Window.partitionBy("grp").orderBy("rank", "level").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("grp", "component", "level", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return found.join(shifts, ["grp", "component", "level"]).select("grp", "asn", (F.col("shift") + F.col("place") - 1).alias("position"))
 
 
 def not_connected(starts: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def merge_communities(edges: DataFrame, membership: DataFrame, most: int = 20) -
     return membership.join(moves, "grp", "left").select("asn", F.coalesce("merged", "grp").alias("grp"))
 
 
-def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """asn, grp by deterministic label propagation: each node takes its neighbours' most frequent label, of equals the
     smallest, on alternate halves of the nodes so that labels settle. Its quality is judged by modularity."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -139,5 +141,5 @@ def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20)
         still = still + 1 if new.join(labels.toDF("asn", "old"), "asn").where("grp <> old").isEmpty() else 0
         labels = new
         if still == 2:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")

@@ -29,8 +29,9 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
     names = membership.join(info, "asn", "left").join(orgs.toDF("org_id", "organization", "country"), "org_id", "left").select("asn", F.coalesce("name", F.concat(F.lit("AS"), F.col("asn"))).alias("name"), "organization", "country")
 
     def labelled(key: DataFrame) -> DataFrame:
-        """grp, count, seed, label: the size and the best-connected member of each group or tile, and its name."""
-        seed = topo.seeds(key, degree).join(names.select(F.col("asn").alias("seed"), F.coalesce("organization", "name").alias("label")), "seed")
+        """grp, count, seed, label, org: the size and the best-connected member of each group or tile, its name and its
+        organization's."""
+        seed = topo.seeds(key, degree).join(names.select(F.col("asn").alias("seed"), F.col("name").alias("label"), F.coalesce("organization", "name").alias("org")), "seed")
         return key.groupBy("grp").agg(F.count("*").alias("count")).join(seed, "grp")
 
     relation = F.when(F.col("rel") == 0, "peer").otherwise("provider-customer")
@@ -45,18 +46,20 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
     none = F.array().cast("array<struct<source:bigint,target:bigint,relationship:string>>")
     tile = heads.join(nodes_of, "tile").join(links_of, "tile", "left").join(parts, "tile").join(external, "tile", "left")
     tile = tile.select(F.col("tile").alias("key"), F.to_json(F.struct(
-        F.col("tile").alias("id"), F.substring_index("tile", "-", 1).alias("parent"), "label", "count", F.col("seed").alias("seedAsn"), F.lit("breadth-first").alias("partition"),
+        F.col("tile").alias("id"), F.substring_index("tile", "-", 1).alias("parent"), "label", "count", F.col("seed").alias("seedAsn"), F.lit("bfs-tile").alias("partition"),
         "connectedComponents", F.coalesce("external", F.lit(0)).alias("externalLinkCount"), "nodes", F.coalesce("links", none).alias("links"))).alias("json"))
 
     parent = lambda c: F.substring_index(c, "-", 1)
     tile_pairs = topo.pair_edges(placed.where(parent("ga") == parent("gb"))).select(parent("source").alias("grp"), "source", "target", "count")
     numbered = heads.select(F.col("tile").alias("id"), parent("tile").alias("grp"), "label", "count", F.col("seed").alias("seedAsn"), F.regexp_extract("tile", r"(\d+)$", 1).cast("bigint").alias("i"))
-    x, y = layout.world_spiral(F.col("i") - 1)
-    children = numbered.withColumns({"x": F.round(x / 1000, 5), "y": F.round(y / 1000, 5)}).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("id", "label", "count", "seedAsn", "x", "y"))).alias("children"))
+    # a group's tiles are laid out by the links between them; a tile's number stands for it
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("bigint")
+    spots = layout.spring(numbered.select("grp", F.col("i").alias("asn")), tile_pairs.select("grp", number("source").alias("a"), number("target").alias("b")), "grp", seed=9000)
+    children = numbered.join(spots.withColumnRenamed("asn", "i"), ["grp", "i"]).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("id", "label", "count", "seedAsn", "x", "y"))).alias("children"))
     pairs_of = tile_pairs.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("source", "target", "count"))).alias("links"))
-    groups = cut(labelled(membership))
+    groups = cut(labelled(membership).drop("label").withColumnRenamed("org", "label"))
     plain = F.array().cast("array<struct<source:string,target:string,count:bigint>>")
-    group = groups.join(children, "grp").join(pairs_of, "grp", "left").select(F.col("grp").alias("key"), F.to_json(F.struct(F.col("grp").alias("id"), "label", "count", F.lit("tiles").alias("partition"), "children", F.coalesce("links", plain).alias("links"))).alias("json"))
+    group = groups.join(children, "grp").join(pairs_of, "grp", "left").select(F.col("grp").alias("key"), F.to_json(F.struct(F.col("grp").alias("id"), "label", "count", F.lit("bfs-tile").alias("partition"), "children", F.coalesce("links", plain).alias("links"))).alias("json"))
 
     by_group = topo.with_groups(edges, membership)
     pairs = topo.pair_edges(by_group)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bz2
 import gzip
-import struct
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from netloom.functions import dates, ip as ipf, paths as pf
 from netloom.operators import explorer, graph, layout, routing
 from netloom.operators import topology as topo
 from netloom.plans import publish, views
+from netloom.sources.topology import ASSETS
 from netloom.plans.views import EDGES, GROUPS, ORGS, PATHS, PROBES, RAW, SHOWN, V4, table
 
 QUERIES, ORACLES = {}, {}
@@ -387,9 +387,24 @@ def topology_build(spark, sf_dir):
     return build_topology(views.edge_rows(spark, sf_dir), m, views.as_info(spark, sf_dir), views.organizations(spark, sf_dir))
 
 
-@query("q30_tile_documents")
+@query("q30_tile_documents", f"""{ORDER}, {ORGS}, o AS (SELECT asn, grp, position AS pos, count(*) OVER (PARTITION BY grp) AS n FROM bfs),
+b AS (SELECT *, n // CAST(ceil(n / 240.0) AS BIGINT) AS base, n % CAST(ceil(n / 240.0) AS BIGINT) AS rest FROM o),
+t AS (SELECT asn, grp, grp || '-c' || format('{{:03d}}', 1 + CASE WHEN pos < rest * (base + 1) THEN pos // (base + 1) ELSE rest + (pos - rest * (base + 1)) // base END) AS tile FROM b),
+e AS (SELECT x.tile AS ta, y.tile AS tb, a, b, rel FROM edges JOIN t x ON a = x.asn JOIN t y ON b = y.asn),
+w AS (SELECT a AS x, b AS y FROM e WHERE ta = tb UNION SELECT b, a FROM e WHERE ta = tb), reach(asn, low) AS (SELECT asn, asn FROM t UNION SELECT w.y, reach.low FROM reach JOIN w ON reach.asn = w.x),
+parts AS (SELECT tile, count(DISTINCT low) AS parts FROM (SELECT asn, min(low) AS low FROM reach GROUP BY asn) p JOIN t ON p.asn = t.asn GROUP BY tile),
+ext AS (SELECT tile, count(*) AS external FROM (SELECT ta AS tile FROM e WHERE ta <> tb UNION ALL SELECT tb FROM e WHERE ta <> tb) GROUP BY tile),
+k AS (SELECT t.tile, t.asn, coalesce(info.name, 'AS' || t.asn) AS name, coalesce(degree, 0) AS degree FROM t LEFT JOIN info ON t.asn = info.asn LEFT JOIN deg ON t.asn = deg.asn),
+nodes AS (SELECT tile, count(*) AS count, string_agg(asn || ':' || degree, ',' ORDER BY degree DESC, asn) AS nodes, arg_min(asn, (-degree, asn)) AS seed, arg_min(name, (-degree, asn)) AS label FROM k GROUP BY tile),
+links AS (SELECT ta AS tile, string_agg(a || CASE WHEN rel = 0 THEN '=' ELSE '>' END || b, ',' ORDER BY a, b) AS links FROM e WHERE ta = tb GROUP BY ta)
+SELECT nodes.tile AS id, left(nodes.tile, 3) AS parent, label, count, seed AS seed_asn, 'bfs-tile' AS partition, parts AS connected_components, coalesce(external, 0) AS external_links, nodes, coalesce(links, '') AS links
+FROM nodes JOIN parts ON nodes.tile = parts.tile LEFT JOIN ext ON nodes.tile = ext.tile LEFT JOIN links ON nodes.tile = links.tile""")
 def q30(spark, sf_dir):
-    return topology_build(spark, sf_dir)["tile"]
+    """The tile documents, read back; all but the coordinates, which follow from a random start."""
+    d = topology_build(spark, sf_dir)["tile"].select(F.from_json("json", ASSETS["tile"]).alias("d")).select("d.*")
+    nodes = F.array_join(F.transform("nodes", lambda n: F.concat(n["asn"], F.lit(":"), n["degree"])), ",")
+    links = F.array_join(F.transform("links", lambda e: F.concat(e["source"], F.when(e["relationship"] == "peer", "=").otherwise(">"), e["target"])), ",")
+    return d.select("id", "parent", "label", "count", F.col("seedAsn").alias("seed_asn"), "partition", F.col("connectedComponents").alias("connected_components"), F.col("externalLinkCount").alias("external_links"), nodes.alias("nodes"), links.alias("links"))
 
 
 @query("q30_overview_document")
@@ -407,31 +422,45 @@ def q32(spark, sf_dir):
     return topo.external_organization_neighbours(topo.adjacency(views.edges(spark, sf_dir)), views.as_info(spark, sf_dir))
 
 
+#: The sample dump's sessions (flags, address, number; the first is not among the default ones) and its routes: subtype,
+#: session, prefix length, prefix bytes, and the segments of the path as (kind, numbers), None for a route without one.
+SESSIONS = [(2, "c6336407", 64511), (3, "200107fa0000000100000000ca28a0f4", 3491), (2, "7bff5af4", 3491)]
+SAMPLE = [
+    (2, 2, 10, "6440", [(2, [3491, 7018])]), (2, 2, 24, "cb0071", [(2, [3491, 2914, 2914, 64499])]), (2, 0, 24, "cb0071", [(2, [64511, 64499])]), (2, 2, 26, "cb007140", [(1, [64499, 64502])]),
+    (2, 2, 32, "c6336407", [(2, [3491]), (2, [64500])]), (4, 1, 42, "20010db80040", [(2, [3491, 6939, 64501])]), (2, 2, 0, "", [(2, [3491, 1299])]), (2, 2, 23, "c00002", [(2, [3491, 6453])]), (2, 2, 23, "c00002", [(2, [3491, 3257])]), (2, 2, 16, "ac1f", None),
+]
+OBSERVED = 1782864000
+
+
 def sample_dump() -> bytes:
-    """A small table dump with the sessions, encodings and edge cases that matter."""
-    rec = lambda sub, body: struct.pack(">IHHI", 1790467200, 13, sub, len(body)) + body
-    peer = lambda flags, addr, asn: bytes([flags]) + bytes(4) + bytes.fromhex(addr) + asn.to_bytes(4, "big")
-    attr = lambda kind, value: struct.pack(">BBH", 0x50, kind, len(value)) + value
-    seq = lambda *asns, kind=2: bytes([kind, len(asns)]) + b"".join(a.to_bytes(4, "big") for a in asns)
-    rib = lambda sub, bits, prefix, index, value: rec(sub, bytes(4) + bytes([bits]) + bytes.fromhex(prefix) + struct.pack(">HHIH", 1, index, 0, len(value)) + value)
-    peers = [peer(2, "7bff5af4", 3491), peer(3, "200107fa0000000100000000ca28a0f4", 3491), peer(2, "c0000201", 64500)]
-    out = rec(1, bytes(6) + struct.pack(">H", len(peers)) + b"".join(peers))
-    out += rib(2, 0, "", 0, attr(2, seq(3491, 3356))) + rib(2, 24, "010101", 0, attr(2, seq(3491, 3491, 13335))) + rib(2, 24, "080808", 0, attr(2, seq(3491, 15169)))
-    out += rib(2, 25, "01010180", 0, attr(2, seq(13335, 15169, kind=1))) + rib(4, 32, "20010db8", 1, attr(2, seq(3491, 6939)))
-    return out + rib(2, 32, "ffffffff", 0, attr(2, seq(3491, 64496))) + rib(2, 24, "010101", 2, attr(2, seq(64500, 13335)))
-
-
-@query("q29_mrt_scan")
+    """A small table dump: two sessions that are read and one that is not, nested, masking, conflicting and missing paths,
+    and a multicast record, which is skipped."""
+    number = lambda n, size: n.to_bytes(size, "big")
+    rec = lambda sub, body: number(OBSERVED, 4) + number(13, 2) + number(sub, 2) + number(len(body), 4) + body
+    table_ = b"".join(bytes([flags]) + bytes(4) + bytes.fromhex(addr) + number(asn, 4) for flags, addr, asn in SESSIONS)
+    out = rec(1, bytes(4) + number(0, 2) + number(len(SESSIONS), 2) + table_) + rec(3, b"multicast")
+    for sub, session, bits, prefix, path in SAMPLE:
+        value = b"".join(bytes([kind, len(asns)]) + b"".join(number(a, 4) for a in asns) for kind, asns in path or [])
+        attrs = b"" if path is None else b"\x50\x02" + number(len(value), 2) + value
+        out += rec(sub, bytes(4) + bytes([bits]) + bytes.fromhex(prefix) + number(1, 2) + number(session, 2) + bytes(4) + number(len(attrs), 2) + attrs)
+    return out
+
+
+V4_ID, V6_ID = "3491@123.255.90.244", "3491@2001:7fa:0:1::ca28:a0f4"
+
+
+@query("q29_mrt_scan", f"""SELECT f.file, r.* FROM (VALUES ('raw'), ('gz'), ('bz2')) f(file), (VALUES
+  ('{V4_ID}', 4, 10, '64400000', '3491,7018'), ('{V4_ID}', 4, 24, 'cb007100', '3491,2914,2914,64499'), ('{V4_ID}', 4, 26, 'cb007140', NULL), ('{V4_ID}', 4, 32, 'c6336407', '3491,64500'),
+  ('{V6_ID}', 6, 42, '20010db8004000000000000000000000', '3491,6939,64501'), ('{V4_ID}', 4, 0, '00000000', '3491,1299'), ('{V4_ID}', 4, 23, 'c0000200', '3491,6453'),
+  ('{V4_ID}', 4, 23, 'c0000200', '3491,3257'), ('{V4_ID}', 4, 16, 'ac1f0000', NULL)) r(peer_id, family, prefix_len, prefix_key, path)""")
 def q29(spark, sf_dir):
     """The same dump raw, as gzip and as bzip2, written to the shared folder through Spark's file system and scanned."""
-    import uuid
-
-    from netloom.session import shared_dir, ship
+    from netloom.session import own_folder, ship
     from netloom.sources.mrt import MrtDataSource
 
     ship(spark).dataSource.register(MrtDataSource)
-    root = shared_dir(spark).removeprefix("file:")
-    root = f"/{root.lstrip('/')}/mrt-{uuid.uuid4().hex}" if "://" not in root else f"{root}/mrt-{uuid.uuid4().hex}"
+    root = own_folder(spark, "netloom-mrt").removeprefix("file:")
+    root = root if "://" in root else f"/{root.lstrip('/')}"
     data = sample_dump()
     for name, body in (("raw", data), ("gz", gzip.compress(data)), ("bz2", bz2.compress(data))):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
@@ -439,4 +468,4 @@ def q29(spark, sf_dir):
         out.write(bytearray(body))
         out.close()
     read = spark.read.format("mrt").option("path", root).load()
-    return read.select(F.element_at(F.split("file", "/"), -1).alias("file"), "seq", "peer_id", *big("family", "prefix_len"), "prefix_key", joined(F.col("path")).alias("path"))
+    return read.select(F.element_at(F.split("file", "/"), -1).alias("file"), "peer_id", *[F.col(c).cast("int").alias(c) for c in ("family", "prefix_len")], "prefix_key", joined(F.col("path")).alias("path"))

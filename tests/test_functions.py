@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -5,8 +6,24 @@ from pyspark.sql import functions as F
 
 from netloom.functions import dates, ip, paths
 
-ROUND = ["0.0.0.0", "255.255.255.255", "::", "::1", "2001:db8::1", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "1:0:0:2::3", "::1:0:0:1:0:0"]
-BAD = ["01.1.1.1", "256.0.0.0", "1.1.1", "1.1.1.1/24", ":::", "2001::db8::1", "fe80::1%eth0", "[::1]", "1:2:3", "1:2:3:4:5:6:7:8:9", "", "1:2:3:4:5:6:7::8", "::1::", "g::", "1.2.3.4.5", None]
+RNG = random.Random(4)
+
+
+def plain_text(groups):
+    """Eight groups in the canonical form, by trying every run of zeros."""
+    runs = [(j - i, -i) for i in range(8) for j in range(i + 2, 9) if not any(groups[i:j])]
+    text = [f"{g:x}" for g in groups]
+    if not runs:
+        return ":".join(text)
+    n, i = max(runs)
+    return ":".join(text[:-i]) + "::" + ":".join(text[-i + n :])
+
+
+GROUPS = [[RNG.choice([0, 0, 1, RNG.randrange(65536)]) for _ in range(8)] for _ in range(60)] + [[0] * 8, [65535] * 8]
+QUADS = [".".join(str(RNG.choice([0, 9, 10, 99, 100, 255, RNG.randrange(256)])) for _ in range(4)) for _ in range(40)]
+SOUND = QUADS[0], plain_text(GROUPS[0])
+# what each rule refuses, made from sound addresses
+WRONG = [None, "", *(f"{x}{tail}" for x in SOUND for tail in ("/24", "%1", " 1", ".", ":")), *(f"[{x}]" for x in SOUND), "0" + "1.2.3.4", "1.2.3.256", "1.2.3", "1.2.3.4.5", ":".join("1" * 7), ":".join("1" * 9), "1::2::3", ":::1", "12345::", "x::", ":".join("1" * 8) + "::"]
 
 
 def parsed(spark, texts):
@@ -15,12 +32,16 @@ def parsed(spark, texts):
 
 
 def test_addresses_round_trip(spark):
-    assert parsed(spark, ROUND) == ROUND
-    assert parsed(spark, ["::FFFF:192.0.2.1", "\t 8.8.8.8 ", "1::2:3:4:5:6:7", "::ffff: 1.2.3.4"]) == ["::ffff:c000:201", "8.8.8.8", "1:0:2:3:4:5:6:7", "::ffff:102:304"]
+    full = [":".join(f"{g:04X}" for g in gs) for gs in GROUPS]
+    short = [plain_text(g) for g in GROUPS]
+    assert parsed(spark, QUADS) == QUADS and parsed(spark, short) == short and parsed(spark, full) == short
+    tails = [f"{x >> 24}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}" for x in (g[6] << 16 | g[7] for g in GROUPS)]
+    assert parsed(spark, [":".join(f"{x:x}" for x in g[:6]) + f":{t}" for g, t in zip(GROUPS, tails, strict=True)]) == short
+    assert parsed(spark, [f"\t{x} " for x in QUADS]) == QUADS
 
 
 def test_wrong_addresses_give_null(spark):
-    assert parsed(spark, BAD) == [None] * len(BAD)
+    assert parsed(spark, WRONG) == [None] * len(WRONG)
 
 
 @pytest.mark.parametrize("addr,width", [("c0a8ff7f", 32), ("20010db8ffffffff0123456789abcdef", 128)])
@@ -30,7 +51,16 @@ def test_mask(spark, addr, width):
         assert int(r.m, 16) == int(addr, 16) >> (width - r.id) << (width - r.id) and len(r.m) == len(addr)
 
 
-CASES = [([1, 2, 3], [1, 4, 3], [1], [2, 3], [4, 3], {3}, "shared_then_split"), ([1, 2], [1, 2], [1, 2], [], [], set(), "same"), ([1], [1, 2], [1], [], [2], set(), "one_ends"), ([1], [2], [], [1], [2], set(), "disjoint"), ([1, 2, 3, 2], [1, 2, 4, 2], [1, 2], [3, 2], [4, 2], {2}, "shared_then_split"), ([], [], [], [], [], set(), "same")]
+def compared(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    x, y = a[k:], b[k:]
+    kind = "same" if not x and not y else "one_ends" if k and not (x and y) else "shared_then_split" if k else "disjoint"
+    return a, b, a[:k], x, y, set(x) & set(y), kind
+
+
+CASES = [compared([RNG.randrange(3) for _ in range(RNG.randrange(6))], [RNG.randrange(3) for _ in range(RNG.randrange(6))]) for _ in range(200)]
 
 
 def test_path_comparison(spark):
@@ -57,10 +87,10 @@ def test_path_attributes_as_columns(spark):
 
 
 def test_dates(spark):
-    now = F.lit("2026-09-28 10:00:00").cast("timestamp")
-    days = spark.createDataFrame([("2026-09-27",), ("2026-02-30",), ("../etc/passwd",), ("2100-01-01",), ("1999-12-31",), (None,)], "t string").select(dates.valid_date(F.col("t"), now).alias("d"))
-    assert [r.d for r in days.collect()] == [date(2026, 9, 27)] + [None] * 5
+    now = F.lit("2026-05-04 10:00:00").cast("timestamp")
+    days = spark.createDataFrame([("2026-05-04",), ("2025-02-29",), ("2026-5-4",), ("2026-05-05",), ("1999-12-31",), (None,)], "t string").select(dates.valid_date(F.col("t"), now).alias("d"))
+    assert [r.d for r in days.collect()] == [date(2026, 5, 4)] + [None] * 5
     r = days.limit(1).select(dates.snapshot_id(F.col("d")), dates.snapshot_file(F.col("d")), dates.snapshot_path(F.col("d"))).first()
-    assert tuple(r) == ("20260927T000000Z", "rib.20260927.0000.bz2", "2026.09/RIBS/rib.20260927.0000.bz2")
-    assert days.limit(1).select(dates.snapshot_url(F.col("d"))).first()[0].endswith("/bgpdata/2026.09/RIBS/rib.20260927.0000.bz2")
-    assert spark.range(1).select(dates.default_date(F.lit("2026-03-01 00:01:00").cast("timestamp"))).first()[0] == date(2026, 2, 28)
+    assert tuple(r) == ("20260504T000000Z", "rib.20260504.0000.bz2", "2026.05/RIBS/rib.20260504.0000.bz2")
+    assert days.limit(1).select(dates.snapshot_url(F.col("d"))).first()[0].endswith("/bgpdata/2026.05/RIBS/rib.20260504.0000.bz2")
+    assert spark.range(1).select(dates.default_date(F.lit("2024-03-01 00:30:00").cast("timestamp"))).first()[0] == date(2024, 2, 29)

@@ -1,10 +1,11 @@
 import bz2
 import gzip
+import random
 import struct
 
 import pytest
 
-from netloom.plans.catalog import sample_dump
+from netloom.plans.catalog import OBSERVED, SAMPLE, sample_dump
 from netloom.plans.engine import Engine
 from netloom.sources.mrt import Dump, MrtError, address_text, decode_path, unpacked
 
@@ -25,7 +26,7 @@ def seq(*asns, kind=2):
 
 
 def record(subtype, body, kind=13, size=None):
-    return struct.pack(">IHHI", 1790467200, kind, subtype, len(body) if size is None else size) + body
+    return struct.pack(">IHHI", OBSERVED, kind, subtype, len(body) if size is None else size) + body
 
 
 def rib(subtype, bits, prefix, index, value, path_id=b""):
@@ -39,15 +40,15 @@ PEERS = DATA[: 12 + struct.unpack(">I", DATA[8:12])[0]]
 @pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress])
 def test_encodings(pack):
     d = Dump(chunks(pack(DATA)))
-    assert len(list(d)) == 6 and d.records == 8 and d.observed == 1790467200
-    assert [p[0] for p in d.peers if p[4]] == [V4, V6]
+    assert len(list(d)) == len(SAMPLE) - 1 and d.records == len(SAMPLE) + 2 and d.observed == OBSERVED
+    assert [p[0] for p in d.peers if p[4]] == [V6, V4]
 
 
 @pytest.mark.parametrize("subtype", [2, 8, 6, 12])
 def test_subtypes(subtype):
-    rows = list(Dump(chunks(PEERS + rib(subtype, 24, "010101", 0, attr(2, seq(3491, 13335))))))
-    assert [r[3:] for r in rows] == [(4, 24, "01010100", [3491, 13335])]
-    assert list(Dump(chunks(PEERS + record(3, b"x") + rib(subtype, 0, "", 0, attr(2, seq(1))))))[0][4] == 0
+    rows = list(Dump(chunks(PEERS + rib(subtype, 24, "c63364", 2, attr(2, seq(3491, 64496))))))
+    assert [r[3:] for r in rows] == [(4, 24, "c6336400", [3491, 64496])]
+    assert list(Dump(chunks(PEERS + record(3, b"x") + rib(subtype, 0, "", 2, attr(2, seq(1))))))[0][4] == 0
 
 
 def test_path_attributes():
@@ -67,8 +68,8 @@ def test_path_attributes():
 
 
 BROKEN = {
-    "header": DATA[:11], "last byte": DATA[:-1], "bzip2 end": bz2.compress(DATA)[:-5], "gzip end": gzip.compress(DATA)[:-4], "page": b"<html>not found</html>", "two tables": PEERS + DATA, "unknown peer": PEERS + rib(2, 24, "010101", 7, b""),
-    "type": record(2, b"", kind=12), "only peers": PEERS, "size": record(2, b"", size=67108865), "no peers": rib(2, 0, "", 0, b""), "subtype": PEERS + record(7, b""), "long prefix": PEERS + rib(2, 33, "0101010101", 0, b""),
+    "header": DATA[:11], "last byte": DATA[:-1], "bzip2 end": bz2.compress(DATA)[:-5], "gzip end": gzip.compress(DATA)[:-4], "page": b"<html>not found</html>", "two tables": PEERS + DATA, "unknown peer": PEERS + rib(2, 24, "c63364", 9, b""),
+    "type": record(2, b"", kind=12), "only peers": PEERS, "size": record(2, b"", size=67108865), "no peers": rib(2, 0, "", 0, b""), "subtype": PEERS + record(7, b""), "long prefix": PEERS + rib(2, 33, "c633640101", 2, b""),
     "rest": PEERS + record(2, bytes(4) + b"\0\0\0x"), "short": b"abc", "empty bzip2": b"BZh9", "garbage": bz2.compress(DATA) + b"garbage", "flags": record(1, bytes(6) + b"\0\1\4"), "cut peer": record(1, bytes(6) + b"\0\1\2"),
 }
 
@@ -87,14 +88,11 @@ def test_one_flipped_bit_is_found():
 
 
 def test_long_and_joined_bzip2():
-    state, out = 42, bytearray()
-    for _ in range(300_000):
-        state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-        out.append(state >> 24)
-    assert b"".join(unpacked(chunks(bz2.compress(bytes(out)), 1000))) == out
-    assert b"".join(unpacked([bz2.compress(b"abc") + bz2.compress(b"xyz")])) == b"abcxyz"
+    out = random.Random(7).randbytes(300_000)
+    assert b"".join(unpacked(chunks(bz2.compress(out), 1000))) == out
+    assert b"".join(unpacked([bz2.compress(b"first ") + bz2.compress(b"") + bz2.compress(b"second")])) == b"first second"
     with pytest.raises(MrtError):
-        list(unpacked([bz2.compress(bytes(out))], most_out=1000))
+        list(unpacked([bz2.compress(out)], most_out=1000))
 
 
 def test_address_text():
@@ -115,7 +113,7 @@ def engine(spark, tmp_path_factory):
     return e
 
 
-LOOKUPS = [("1.1.1.1", V4, "ok", "1.1.1.0/24", [3491, 13335]), ("1.1.1.200", V4, "unsupported_path", None, None), ("8.8.8.8", V4, "ok", "8.8.8.0/24", [3491, 15169]), ("9.9.9.9", V4, "ok", "0.0.0.0/0", [3491, 3356]), ("255.255.255.255", V4, "ok", "255.255.255.255/32", [3491, 64496]), ("2001:db8::1", V6, "ok", "2001:db8::/32", [3491, 6939]), ("2001:db9::1", V6, "not_observed", None, None), ("2001:db8::1", V4, "missing_family", None, None), ("1.1.1.1", V6, "missing_family", None, None), ("1.1.1.1", "x", "unknown_peer", None, None), ("1.1.1", V4, "invalid_ip", None, None)]
+LOOKUPS = [("100.64.7.7", V4, "ok", "100.64.0.0/10", [3491, 7018]), ("203.0.113.9", V4, "ok", "203.0.113.0/24", [3491, 2914, 64499]), ("203.0.113.70", V4, "unsupported_path", None, None), ("198.51.100.7", V4, "ok", "198.51.100.7/32", [3491, 64500]), ("198.51.100.8", V4, "ok", "0.0.0.0/0", [3491, 1299]), ("192.0.3.1", V4, "unsupported_path", None, None), ("172.31.0.1", V4, "unsupported_path", None, None), ("2001:db8:7f::1", V6, "ok", "2001:db8:40::/42", [3491, 6939, 64501]), ("2001:db8:80::1", V6, "not_observed", None, None), ("2001:db8:40::", V4, "missing_family", None, None), ("203.0.113.9", V6, "missing_family", None, None), ("203.0.113.9", "64511@198.51.100.7", "unknown_peer", None, None), ("203.0.113", V4, "invalid_ip", None, None)]
 
 
 def test_lookups(spark, engine):
@@ -126,19 +124,19 @@ def test_lookups(spark, engine):
 
 def test_metadata_compare_and_failed_load(spark, engine):
     meta = {r.peer_id: r for r in engine.metadata().collect()}
-    assert meta[V4].prefix_counts == {"4": 5} and meta[V4].is_default and not meta[V6].is_default and meta[V6].families == [6]
-    r = engine.compare_paths(" 1.1.1.1", "8.8.8.8 ", V4).first()
-    assert (r.trunk, r.branch_a, r.branch_b, r.relation) == ([3491], [13335], [15169], "shared_then_split")
-    for a, b, p in (("", "1.1.1.1", V4), ("1.1.1", "1.1.1.1", V4), ("1.1.1.1", "1.1.1.1", "x")):
+    assert meta[V4].prefix_counts == {"4": 7} and meta[V4].is_default and not meta[V6].is_default and meta[V6].families == [6]
+    r = engine.compare_paths(" 203.0.113.9", "100.64.7.7 ", V4).first()
+    assert (r.trunk, r.branch_a, r.branch_b, r.relation) == ([3491], [2914, 64499], [7018], "shared_then_split")
+    for a, b, p in (("", "100.64.7.7", V4), ("100.64.7", "100.64.7.7", V4), ("100.64.7.7", "100.64.7.7", "x")):
         with pytest.raises(Exception):
             engine.compare_paths(a, b, p).collect()
     before = engine.store.current()
     for path, more in (("bad", {}), ("in", {"max_routes": 1}), ("in", {"expected_date": "2026-01-01"}), ("in", {"max_path_asns": 2})):
         with pytest.raises(Exception):
             engine.load_rib(str(engine.root / path), **more)
-    assert engine.store.current() == before and engine.store.table("routes").count() == 6
-    again = engine.load_rib(str(engine.root / "in"), expected_date="2026-09-27")
-    assert engine.store.current()["place"] == again and again.startswith("20260927T000000Z")
+    assert engine.store.current() == before and engine.store.table("routes").count() == 8
+    again = engine.load_rib(str(engine.root / "in"), expected_date="2026-07-01")
+    assert engine.store.current()["place"] == again and again.startswith("20260701T000000Z")
 
 
 def test_new_dumps_as_a_stream(spark, engine, tmp_path):
@@ -148,6 +146,6 @@ def test_new_dumps_as_a_stream(spark, engine, tmp_path):
         q.processAllAvailable()
         (tmp_path / "b").write_bytes(gzip.compress(DATA))
         q.processAllAvailable()
-        assert spark.table("ribs").groupBy("file").count().count() == 2 and spark.table("ribs").count() == 12
+        assert spark.table("ribs").groupBy("file").count().count() == 2 and spark.table("ribs").count() == 18
     finally:
         q.stop()
