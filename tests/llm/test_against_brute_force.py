@@ -536,3 +536,49 @@ TEMPLATES = {
 def test_html_templates(name):
     page, want = TEMPLATES[name]
     assert o9.extract(page, o9.PRIOR).split("\n") == want.split("|")
+
+
+def test_attributes_with_stray_quotes_lose_no_text():
+    rng = random.Random(6)
+    first, second = "One sentence is here, and it goes on for a while.", "They said that all is well, and went on their way."
+    odd = ["title=it's", 'class="a""', "data-x='b'c'", '"', "=x", 'alt="open', "x = 'y' z=\"w\"", "a='>'", "b=/", "'"]
+    for _ in range(40):
+        a, b = (" ".join(rng.sample(odd, rng.randint(1, 2))) for _ in range(2))
+        if "open" in a or "open" in b:  # one that is never closed belongs to its word only where no other quote follows
+            a, b = 'alt="open', "c=d"
+        assert o9.extract(f"<article><p {a}>{first}</p><p {b}>{second}</p></article>", o9.PRIOR) in (f"{first}\n{second}",), (a, b)
+
+
+def test_words_of_classes_within_an_article_do_not_decide_alone():
+    page = "<article><p>Some text goes here, long enough.</p><div class=legal><p>The legal side of the matter is told here, in whole sentences.</p></div><div class=related><ul><li><a href=x>Next</a></li><li><a href=y>More</a></li></ul></div><div class=comments><p>A reader says that this is so, at some length.</p></div></article>"
+    assert o9.extract(page, o9.PRIOR) == "Some text goes here, long enough.\nThe legal side of the matter is told here, in whole sentences."
+
+
+def test_training_rows_are_as_few_as_identifiers(spark, monkeypatch):
+    page = "<article><p>Some text goes here, long enough.</p></article><footer>Imprint</footer>"
+    seen = []
+    monkeypatch.setattr(o9, "fit", lambda x, y: seen.append(len(y)) or o9.PRIOR)
+    o9.train(spark.createDataFrame([(1, page)] * 500 + [(2, page)], "page_id bigint, html string"))
+    assert seen == [4]
+
+
+@pytest.mark.parametrize("run", [4096, 3])
+def test_similar_texts_under_large_keys(spark, run):
+    """A family whose texts share most shingles, searched whole and in pieces, against counting every pair."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((d, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, t in rows]
+    root = list(range(80))
+    for _ in range(80):
+        for a, b in itertools.combinations(range(80), 2):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.component_id for r in o1.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), run=run).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 1
