@@ -8,7 +8,7 @@ the other half of the rows. Every document is scored, from its whole text alone.
 
 Defined cases: a null text counts as empty and gets the score of an empty text; rows without an identifier count as
 held out = (crc32 of an empty text mod 5 = 0) and are scored; of repeated labels the largest counts, null labels do
-not; without labels of both classes every score is the smoothed share of label 1; other columns are not read.
+not; of rows that repeat an identifier the least text trains; without labels of both classes every score is the smoothed share of label 1; other columns are not read.
 """
 
 from __future__ import annotations
