@@ -95,11 +95,9 @@ def q39(spark, sf_dir):
     return out.select("pair_id", "status_a", "status_b", joined(F.col("trunk")).alias("trunk"), "relation")
 
 
-@query("q39_picked_observer", "SELECT event_type, user_id, min(event_id) AS event_id FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND event_type = 'click' GROUP BY ALL")
+@query("q39_picked_observer", "SELECT event_type, user_id, event_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 1")
 def q39_observer(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
-    least = e.agg(F.min("user_id").alias("user_id"))
-    return routing.pick_observer(e.join(F.broadcast(least), "user_id", "left_semi"), {"event_type": "click"}, "event_id").select("event_type", "user_id", "event_id")
+    return routing.pick_observer(table(spark, sf_dir, "events").select("event_type", "user_id", "event_id"), {"event_type": "click"}, "event_id")
 
 
 @query("q40_instants", """SELECT event_id, strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') AS day_before, 'local-' || CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS local_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(ts, '%Y-%m-%d %H:%M UTC') AS minute,
@@ -130,13 +128,13 @@ def q42(spark, sf_dir):
     return topo.rank_groups(s.unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_size").alias("grp"), (F.col("p_partkey") + 100000).alias("asn"))))
 
 
-@query("q42_not_connected", f"""WITH RECURSIVE {EDGES}, {GROUPS}, s AS (SELECT grp, min(asn) AS asn FROM m WHERE asn < 100000 GROUP BY grp), i AS (SELECT a AS x, b AS y FROM placed WHERE ga = gb AND a % 5 <> 0 AND b % 5 <> 0 UNION SELECT b, a FROM placed WHERE ga = gb AND a % 5 <> 0 AND b % 5 <> 0),
+@query("q42_not_connected", f"""WITH RECURSIVE {EDGES}, {GROUPS}, s AS (SELECT grp, min(asn) AS asn FROM m GROUP BY grp), i AS (SELECT a AS x, b AS y FROM placed WHERE ga = gb UNION SELECT b, a FROM placed WHERE ga = gb),
 r(asn) AS (SELECT asn FROM s UNION SELECT i.y FROM r JOIN i ON r.asn = i.x) SELECT grp, asn FROM m WHERE asn NOT IN (SELECT asn FROM r)""")
 def q42_connected(spark, sf_dir):
-    """Members that their group's first network does not reach when every fifth network is down."""
+    """Members that their group's lowest network does not reach along links within the group."""
     m = views.membership(spark, sf_dir)
-    inner = topo.with_groups(views.edges(spark, sf_dir), m).where("ga = gb AND a % 5 <> 0 AND b % 5 <> 0")
-    starts = m.where("asn < 100000").groupBy("grp").agg(F.min("asn").alias("asn"))
+    inner = topo.with_groups(views.edges(spark, sf_dir), m).where("ga = gb")
+    starts = m.groupBy("grp").agg(F.min("asn").alias("asn"))
     return graph.not_connected(starts, m, topo.adjacency(inner.select("a", "b", "rel")).join(m, "asn").select("grp", "asn", "nbr"))
 
 
@@ -147,12 +145,14 @@ def q42_coverage(spark, sf_dir):
     return topo.same_nodes(m, views.membership(spark, sf_dir)).select(F.lit("all").alias("kind"), "equal").union(topo.same_nodes(m, topo.degrees(topo.adjacency(e))).select(F.lit("linked"), "equal"))
 
 
-@query("q43_families", "SELECT 'P' || (event_id % 3) AS peer_id, CASE WHEN event_id % 3 = 1 THEN '6,4' ELSE '4,6' END AS families, max(event_id) FILTER (event_id < 3) AS first_seq FROM events WHERE event_id < 3 GROUP BY event_id")
+@query("q43_families", """WITH e AS (SELECT 'P' || (event_id % 3) AS peer_id, event_id AS seq, CASE WHEN (event_id + CASE WHEN event_id % 3 = 1 THEN 3 ELSE 0 END) % 6 < 3 THEN 4 ELSE 6 END AS family FROM events),
+f AS (SELECT peer_id, family, count(*) AS n, min(seq) AS seen FROM e GROUP BY ALL) SELECT peer_id, string_agg(family, ',' ORDER BY seen) AS families, min(seen) AS first_seq, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY peer_id""")
 def q43(spark, sf_dir):
     """Families in the order in which a session's routes show them."""
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("P"), F.col("event_id") % 3).alias("peer_id"), F.col("event_id").alias("seq"), F.expr("if((event_id + if(event_id % 3 = 1, 3, 0)) % 6 < 3, 4, 6)").alias("family"))
-    per = routing.peer_metadata(routing.prefix_counts(e, "seq"), e.select("peer_id").distinct())
-    return per.select("peer_id", joined(F.col("families")).alias("families"), F.expr("CAST(substr(peer_id, 2) AS bigint)").alias("first_seq"))
+    counts = routing.prefix_counts(e, "seq")
+    first = counts.groupBy("peer_id").agg(F.min("seen").alias("first_seq"), F.sum("n").alias("n"))
+    return routing.peer_metadata(counts, first).select("peer_id", joined(F.col("families")).alias("families"), "first_seq", "n")
 
 
 SCENE = "scene AS (SELECT s_suppkey AS id, s_suppkey AS asn, 'AS' || s_suppkey AS label, s_name AS sub, s_acctbal AS x, s_suppkey * 7.0 AS y, s_nationkey AS scene, CAST(1 + s_suppkey % 40 AS BIGINT) AS count FROM supplier)"
@@ -200,7 +200,7 @@ def q38_page(spark, sf_dir):
     return explorer.page(scene(spark, sf_dir).select("id", "count"), [F.desc("count"), "id"], 2, 3)
 
 
-@query("q38_names", f"""WITH {ORGS}, p AS (SELECT DISTINCT l_suppkey AS asn FROM lineitem UNION SELECT 100000 + l_partkey FROM lineitem WHERE l_quantity > 0)
+@query("q38_names", f"""WITH {ORGS}, p AS (SELECT DISTINCT l_suppkey AS asn FROM lineitem UNION SELECT 100000 + l_partkey FROM lineitem)
 SELECT p.asn, CASE WHEN orgs.name IS NOT NULL THEN orgs.name WHEN info.name IS NOT NULL THEN info.name ELSE 'not listed' END AS shown, p.asn % 256 AS bucket FROM p LEFT JOIN info ON p.asn = info.asn LEFT JOIN orgs ON info.org_id = orgs.org_id""")
 def q38_names(spark, sf_dir):
     """Names of the numbers in paths, found by their buckets."""
