@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.topology import rank_groups
 from netloom.session import cut
 
 ROUNDS = 200
@@ -127,6 +128,19 @@ def merge_communities(edges: DataFrame, membership: DataFrame, most: int = 20) -
     return membership.join(moves, "grp", "left").select("asn", F.coalesce("merged", "grp").alias("grp"))
 
 
+def split_communities(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """asn, grp: each connected part of a community on its own, named by its lowest number."""
+    m = membership.select("asn", "grp")
+    inner = edges.join(m.toDF("a", "ga"), "a").join(m.toDF("b", "gb"), "b").where("ga = gb")
+    return components(m, inner.select("a", "b")).select("asn", F.col("component").alias("grp"))
+
+
+def settle_communities(edges: DataFrame, membership: DataFrame, most: int = 20) -> DataFrame:
+    """asn, grp (g01 …): found communities, split into connected parts, merged until `most` are left, ranked by size."""
+    merged = cut(merge_communities(edges, cut(split_communities(edges, membership)), most))
+    return merged.join(rank_groups(merged).select("grp", "gid"), "grp").select("asn", F.col("gid").alias("grp"))
+
+
 def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """asn, grp by deterministic label propagation: each node takes its neighbours' most frequent label, of equals the
     smallest, on alternate halves of the nodes so that labels settle. Its quality is judged by modularity."""

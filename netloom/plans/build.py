@@ -80,11 +80,19 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
 
 
 def write_topology(built: dict[str, DataFrame], root: str) -> None:
-    """Tables as Parquet (adjacency and names below a folder per bucket), documents as text below a folder per key."""
+    """Tables as Parquet; documents as text below a folder per key; adjacency, names and index as JSON lines, the first two
+    below a folder per bucket, which read_asset reads with lines=True."""
+    word = lambda c: F.col(c).cast("string")
     for name, df in built.items():
-        if name in ("tile", "group", "root", "overview"):
+        if name == "adjacency":
+            value = F.from_json("json", "neighbors array<array<string>>")
+            publish.write_documents(publish.keyed_lines(df, value).repartition("bucket"), "bucket", f"{root}/{name}")
+        elif name == "names":
+            publish.write_documents(publish.keyed_lines(df, F.struct("name", "organization", "country")).repartition("bucket"), "bucket", f"{root}/{name}")
+        elif name == "index":
+            lines = publish.keyed_lines(df.withColumn("bucket", F.lit(0)), F.array("grp", "tile", "name", word("degree")))
+            lines.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{root}/{name}")
+        elif name in ("tile", "group", "root", "overview"):
             publish.write_documents(df, "key", f"{root}/{name}")
-        elif "bucket" in df.columns:
-            publish.write_sharded(df, f"{root}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{root}/{name}")

@@ -10,6 +10,7 @@ from netloom.operators import explorer, graph, layout, routing
 from netloom.operators import topology as topo
 from netloom.plans import views
 from netloom.plans.catalog import big, joined, query
+from netloom.plans.snapshot import build_snapshot
 from netloom.plans.views import EDGES, GROUPS, ORGS, PROBES, RAW, SHOWN, V4, table
 from netloom.session import own_folder
 from netloom.sources import topology as text
@@ -208,3 +209,62 @@ def q38_names(spark, sf_dir):
     info = views.as_info(spark, sf_dir).join(views.organizations(spark, sf_dir).select("org_id", F.col("name").alias("organization")), "org_id", "left")
     found = explorer.names_of(paths, info.withColumn("bucket", topo.bucket(F.col("asn"))))
     return found.select("asn", pf.network_name(F.col("organization"), F.col("name")).alias("shown"), topo.bucket(F.col("asn")).cast("bigint").alias("bucket"))
+
+
+#: The test groups' connected parts as groups g01 …, each member's distance from its group's best-connected network.
+PARTS = f"""{EDGES}, {GROUPS}, {ORGS}, w AS (SELECT a AS x, b AS y FROM placed WHERE ga = gb UNION SELECT b, a FROM placed WHERE ga = gb),
+reach(asn, low) AS (SELECT asn, asn FROM m UNION SELECT w.y, reach.low FROM reach JOIN w ON reach.asn = w.x), c AS (SELECT asn, min(low) AS low FROM reach GROUP BY asn),
+rk AS (SELECT low, 'g' || format('{{:02d}}', row_number() OVER (ORDER BY count(*) DESC, low)) AS grp FROM c GROUP BY low),
+g AS (SELECT c.asn, grp, degree, coalesce(org_id, 'unknown-AS' || c.asn) AS org, info.name FROM c JOIN rk ON c.low = rk.low JOIN deg ON c.asn = deg.asn LEFT JOIN info ON c.asn = info.asn),
+h AS (SELECT grp, arg_min(asn, (-degree, asn)) AS seed, arg_min(org, (-degree, asn)) AS seed_org, count(*) AS n, count(DISTINCT org) AS orgs_n FROM g GROUP BY grp),
+d(asn, distance) AS (SELECT seed, 0 FROM h UNION SELECT w.y, d.distance + 1 FROM d JOIN w ON d.asn = w.x WHERE d.distance < 20),
+far AS (SELECT asn, min(distance) AS distance FROM d GROUP BY asn), e AS (SELECT a, b, rel, x.grp AS ga, y.grp AS gb, x.degree + y.degree AS weight FROM edges JOIN g x ON a = x.asn JOIN g y ON b = y.asn)"""
+
+
+def snapshot(spark, sf_dir):
+    edges = views.edges(spark, sf_dir)
+    parts = graph.split_communities(edges, views.membership(spark, sf_dir))
+    ranked = parts.join(topo.rank_groups(parts).select("grp", "gid"), "grp").select("asn", F.col("gid").alias("grp"))
+    return build_snapshot(views.edge_rows(spark, sf_dir), ranked, views.as_info(spark, sf_dir), views.organizations(spark, sf_dir))
+
+
+@query("q44_snapshot_groups", f"""WITH RECURSIVE {PARTS},
+r AS (SELECT g.grp, asn, degree, org = seed_org AS own, row_number() OVER (PARTITION BY g.grp ORDER BY degree DESC, asn) AS p, row_number() OVER (PARTITION BY g.grp, org = seed_org ORDER BY degree DESC, asn) AS q FROM g JOIN h ON g.grp = h.grp),
+u AS (SELECT grp, asn, min(p) AS p FROM (SELECT grp, asn, q AS p FROM r WHERE own AND q <= 24 UNION ALL SELECT grp, asn, p + 24 FROM r WHERE p <= 96) GROUP BY ALL),
+v AS (SELECT grp, asn, row_number() OVER (PARTITION BY grp ORDER BY p) AS pos FROM u),
+shown AS (SELECT v.grp, count(*) AS shown_n, string_agg(v.asn || ':' || degree || ':' || distance, ',' ORDER BY pos) AS members FROM v JOIN g ON v.asn = g.asn JOIN far ON v.asn = far.asn GROUP BY v.grp),
+l AS (SELECT ga AS grp, a || CASE WHEN rel = 0 THEN '=' ELSE '>' END || b AS t, row_number() OVER (PARTITION BY ga ORDER BY weight DESC, a, b) AS pos FROM e JOIN v x ON a = x.asn JOIN v y ON b = y.asn WHERE ga = gb),
+lines AS (SELECT grp, count(*) AS total, string_agg(t, ',' ORDER BY pos) FILTER (pos <= 1500) AS links FROM l GROUP BY grp),
+inn AS (SELECT ga AS grp, count(*) AS internal FROM e WHERE ga = gb GROUP BY ga), own AS (SELECT grp, count(*) AS own_n, string_agg(asn, ',' ORDER BY degree DESC, asn) AS seeds FROM r WHERE own GROUP BY grp),
+ext AS (SELECT x.grp, count(DISTINCT nbr) AS external FROM adj JOIN g x ON adj.asn = x.asn JOIN g y ON nbr = y.asn WHERE x.grp <> y.grp GROUP BY x.grp),
+hist AS (SELECT grp, '{{' || string_agg('"' || distance || '":' || n, ',' ORDER BY distance) || '}}' AS distances FROM (SELECT grp, distance, count(*) AS n FROM g JOIN far ON g.asn = far.asn GROUP BY ALL) GROUP BY grp)
+SELECT h.grp AS id, coalesce(orgs.name, seed_org) AS label, seed_org AS organization_id, seed AS seed_asn, seeds, own_n AS seed_count, coalesce(external, 0) AS external, coalesce(country, '') AS country,
+  {layout.PALETTE}[1 + (CAST(substr(h.grp, 2) AS BIGINT) - 1) % {len(layout.PALETTE)}] AS color, h.n AS asn_count, orgs_n AS org_count, coalesce(internal, 0) AS internal, members, shown_n AS shown,
+  coalesce(links, '') AS links, least(coalesce(total, 0), 1500) AS links_shown, coalesce(total, 0) AS links_total, distances
+FROM h JOIN shown ON h.grp = shown.grp JOIN own ON h.grp = own.grp JOIN hist ON h.grp = hist.grp LEFT JOIN lines ON h.grp = lines.grp LEFT JOIN inn ON h.grp = inn.grp LEFT JOIN ext ON h.grp = ext.grp LEFT JOIN orgs ON seed_org = org_id""")
+def q44_groups(spark, sf_dir):
+    """The snapshot's group records, their lists as texts."""
+    members = F.array_join(F.transform("members", lambda v: F.concat_ws(":", v["asn"], v["degree"], v["distance"])), ",")
+    links = F.array_join(F.transform("internalLinks", lambda v: F.concat(v["source"], F.when(v["relationship"] == "peer", "=").otherwise(">"), v["target"])), ",")
+    long = lambda c, name: F.col(c).cast("bigint").alias(name)
+    return snapshot(spark, sf_dir)["groups"].select(
+        "id", "label", F.col("organizationId").alias("organization_id"), F.col("seedAsn").alias("seed_asn"), joined(F.col("seedAsns")).alias("seeds"), long("seedOrganizationAsnCount", "seed_count"), long("externalNeighborAsnCount", "external"),
+        "country", "color", long("asnCount", "asn_count"), long("organizationCount", "org_count"), long("internalLinkCount", "internal"), members.alias("members"), long("visibleMemberCount", "shown"), links.alias("links"),
+        long("visibleInternalLinkCount", "links_shown"), long("totalLinksBetweenVisibleMembers", "links_total"), F.to_json("distanceDistribution").alias("distances"))
+
+
+@query("q44_snapshot_members", f"WITH RECURSIVE {PARTS} SELECT g.asn, grp, coalesce(g.name, 'AS' || g.asn) AS name, coalesce(orgs.name, 'Unknown organization') AS organization, coalesce(country, '') AS country, degree, CAST(distance AS BIGINT) AS distance FROM g JOIN far ON g.asn = far.asn LEFT JOIN orgs ON org = org_id")
+def q44_members(spark, sf_dir):
+    return snapshot(spark, sf_dir)["members"].withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@query("q44_snapshot_links", f"WITH RECURSIVE {PARTS} SELECT least(ga, gb) AS source, greatest(ga, gb) AS target, count(*) AS count, count(*) FILTER (rel = 0) AS peers, count(*) FILTER (rel = -1) AS transit FROM e WHERE ga <> gb GROUP BY ALL")
+def q44_links(spark, sf_dir):
+    return snapshot(spark, sf_dir)["links"].select("source", "target", "count", F.col("peerCount").alias("peers"), F.col("providerCustomerCount").alias("transit"))
+
+
+@query("q44_snapshot_metadata", f"""WITH RECURSIVE {PARTS} SELECT count(*) AS links, (SELECT count(*) FROM lineitem) AS raw, count(*) FILTER (rel = 0) AS peers, count(*) FILTER (rel = -1) AS transit, count(*) FILTER (ga = gb) AS within, count(*) FILTER (ga <> gb) AS between,
+(SELECT count(*) FROM g) AS networks, (SELECT count(DISTINCT grp) FROM g) AS groups, (SELECT count(DISTINCT org) FROM g) AS organizations, CAST(0 AS BIGINT) AS unassigned FROM e""")
+def q44_metadata(spark, sf_dir):
+    names = {"totalLinks": "links", "rawRelationshipRows": "raw", "peerLinks": "peers", "providerCustomerLinks": "transit", "withinGroupLinks": "within", "betweenGroupLinks": "between", "assignedAS": "networks", "groupCount": "groups", "totalOrganizations": "organizations", "unassignedAS": "unassigned"}
+    return snapshot(spark, sf_dir)["metadata"].select(*[F.col(k).alias(v) for k, v in names.items()])

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import gzip
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators.topology import BUCKETS, bucket
@@ -42,6 +43,30 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def keyed_lines(df: DataFrame, value: Column) -> DataFrame:
+    """bucket, json: a line {"asn": value} for each network, so that a bucket of any size is written by rows."""
+    return df.select("bucket", F.to_json(F.create_map(F.col("asn").cast("string"), value)).alias("json"))
+
+
+def file_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, gzip_length (level 6) of every document below root; files are read one by one."""
+
+    def sizes(batches):
+        for b in batches:
+            b["gzip_length"] = [len(gzip.compress(c, 6, mtime=0)) for c in b.pop("content")]
+            yield b
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(root)
+    return files.select("path", "length", "content").mapInPandas(sizes, "path string, length bigint, gzip_length bigint")
+
+
+def file_manifest(sizes: DataFrame) -> DataFrame:
+    """One row: number of files, their bytes, bytes after gzip, the largest file and its bytes (of equals the first path)."""
+    return sizes.agg(
+        F.count("*").alias("files"), F.sum("length").alias("totalJsonBytesExcludingManifest"), F.sum("gzip_length").alias("estimatedGzipBytesExcludingManifest"),
+        F.min_by("path", F.struct(-F.col("length"), "path")).alias("largestFile"), F.max("length").alias("largestFileBytes"))
+
+
 class Published:
     """Snapshots of named tables below a root. A new one becomes current only after all of its tables are written; a
     failed load leaves the old one in place."""

@@ -60,11 +60,12 @@ def newest(names: DataFrame, column: str, pattern: str, today: Column) -> DataFr
     return found.where(day <= F.date_format(today, "yyyyMMdd")).agg(F.max("name").alias("name"))
 
 
-def read_asset(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """The explorer's JSON documents of one kind: overview, root, group, tile; index, adjacency and names as key rows."""
+def read_asset(spark: SparkSession, kind: str, path: str, lines: bool = False) -> DataFrame:
+    """The explorer's JSON documents of one kind: overview, root, group, tile; index, adjacency and names as key rows. With
+    `lines`, each line is a document of its own, as write_topology writes those three; else each file is one."""
     if kind in ("index", "adjacency", "names"):
         shape = ASSETS[kind].split(" ", 1)[1]
-        docs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)).alias("key", "v"))
+        docs = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", shape)).alias("key", "v"))
         asn = F.col("key").cast("bigint").alias("asn")
         if kind == "index":
             item = lambda i: F.get("v", F.lit(i))

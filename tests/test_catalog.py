@@ -16,11 +16,13 @@ def test_query_runs(spark, sf, name):
 
 def test_topology_build(spark, sf, tmp_path):
     """The documents agree with one another, as the explorer needs."""
+    import gzip
     import json
     import math
     from collections import Counter
 
     from netloom.plans.build import write_topology
+    from netloom.plans.publish import file_manifest, file_sizes
     from netloom.sources.topology import read_asset
 
     built = catalog.topology_build(spark, sf)
@@ -41,6 +43,16 @@ def test_topology_build(spark, sf, tmp_path):
     assert built["manifest"].first().sound
     write_topology({k: built[k] for k in ("overview", "adjacency", "names", "index")}, str(tmp_path))
     assert read_asset(spark, "overview", str(tmp_path / "overview" / "key=overview")).first().groups[0].id == "g01"
+    back = lambda name: read_asset(spark, name, str(tmp_path / name / ("" if name == "index" else "*")), lines=True).collect()
+    assert {(r.asn, r.grp, r.tile, r.name, r.degree) for r in back("index")} == {(r.asn, r.grp, r.tile, r.name, r.degree) for r in index.values()}
+    assert {(r.asn, r.name, r.organization, r.country) for r in back("names")} == {(r.asn, r.name, r.organization, r.country) for r in built["names"].collect()}
+    near = [(r.asn, r.nbr) for r in back("adjacency")]
+    assert len(near) == len(set(near)) == 2 * len(edges) and set(near) == {p for e in edges for p in ((e.a, e.b), (e.b, e.a))}
+    sizes = file_sizes(spark, str(tmp_path))
+    paths = [p for p in tmp_path.rglob("part-*")]
+    row = file_manifest(sizes).first()
+    assert row.files == len(paths) and row.totalJsonBytesExcludingManifest == sum(p.stat().st_size for p in paths) and row.largestFileBytes == max(p.stat().st_size for p in paths)
+    assert row.estimatedGzipBytesExcludingManifest == sum(len(gzip.compress(p.read_bytes(), 6, mtime=0)) for p in paths)
 
 
 def test_entry_without_optional_part():

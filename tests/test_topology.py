@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netloom.operators import explorer, graph, layout, routing
 from netloom.operators import topology as topo
 from netloom.plans.publish import digests, documents, write_documents, write_sharded
+from netloom.plans.snapshot import build_snapshot, write_snapshot
 from netloom.sources import topology as src
 
 REL = "# input clique: 10 20\n# source:topology|BGP|20260901|x\n# source:topology|BGP|20260902\n\n10|20|0\n10|1|-1\n20|1|-1\n20|2|-1\n1|3|-1\n1|10|0\n"
@@ -175,3 +176,62 @@ def test_empty_tables(spark):
     assert routing.merge_routes(routes).count() == 0
     with pytest.raises(Exception, match="empty"):
         routing.check_limits(routing.table_size(routes, routes)).collect()
+
+
+def settled(membership, edges, most):
+    """Communities split into connected parts, the smallest merged one by one, as sets by (size, lowest number)."""
+    near = {a: set() for a in membership}
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    left, parts = set(membership), []
+    while left:
+        part, todo = set(), [min(left)]
+        while todo:
+            a = todo.pop()
+            if a not in part:
+                part.add(a)
+                todo += [b for b in near[a] if membership[b] == membership[a]]
+        parts.append(part)
+        left -= part
+    while len(parts) > most:
+        small = min(parts, key=lambda p: (len(p), min(p)))
+        rest = [p for p in parts if p is not small]
+        links = lambda p: sum(b in p for a in small for b in near[a])  # noqa: E731, B023
+        best = max(rest, key=lambda p: (links(p), len(p), -min(p)))
+        best |= small
+        parts = rest
+    return sorted(parts, key=lambda p: (-len(p), min(p)))
+
+
+def test_communities_split_merged_and_ranked(spark):
+    rng = random.Random(4)
+    for n, most in ((24, 3), (40, 5)):
+        edges = [(a, rng.randrange(a)) for a in range(1, n)] + [tuple(rng.sample(range(n), 2)) for _ in range(n // 2)]
+        edges = sorted({(max(e), min(e)) for e in edges})
+        groups = {a: rng.randrange(6) for a in range(n)}
+        m = spark.createDataFrame([(a, g) for a, g in groups.items()], "asn bigint, grp bigint")
+        got = graph.settle_communities(spark.createDataFrame(edges, "a bigint, b bigint"), m, most).collect()
+        assert {r.asn: r.grp for r in got} == {a: f"g{i + 1:02d}" for i, p in enumerate(settled(groups, edges, most)) for a in p}
+
+
+def test_snapshot_needs_connected_groups_of_all_networks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 0, 1), (2, 3, -1, 2), (3, 4, 0, 3), (2, 1, -1, 4)], "a bigint, b bigint, rel int, line_no bigint")
+    info = spark.createDataFrame([(1, "ONE", "X"), (2, None, "X"), (3, "THREE", None)], "asn bigint, name string, org_id string")
+    orgs = spark.createDataFrame([("X", "Ex", None)], "org_id string, name string, country string")
+    groups = lambda *of: spark.createDataFrame([(i + 1, g) for i, g in enumerate(of)], "asn bigint, grp string")
+    with pytest.raises(ValueError, match="not connected"):
+        build_snapshot(rows, groups("g01", "g02", "g01", "g02"), info, orgs)
+    with pytest.raises(ValueError, match="no group"):
+        build_snapshot(rows, groups("g01", "g01", "g02"), info, orgs)
+    dates = spark.createDataFrame([("20260902",), ("20260901",)], "date string")
+    built = build_snapshot(rows, groups("g01", "g01", "g02", "g02", "g09"), info, orgs, {"source": "own", "date": "2026-09-01"}, rows.selectExpr("a AS asn"), dates)
+    meta = built["metadata"].first().asDict()
+    assert len(meta) == 26 and meta["source"] == "own" and meta["rawRelationshipRows"] == 4 and meta["totalLinks"] == 3 and meta["groupCount"] == 2
+    assert meta["bgpObservationDates"] == ["20260901", "20260902"] and meta["inputClique"] == [1, 2, 3] and meta["totalOrganizations"] == 3
+    one, two = built["groups"].orderBy("id").collect()
+    assert (one.label, one.organizationId, one.country, one.seedAsn, one.seedAsns, one.distanceDistribution) == ("Ex", "X", "", 2, [2, 1], {0: 1, 1: 1})
+    assert (two.label, two.seedAsns, [v.asn for v in two.members], [tuple(x) for x in two.internalLinks]) == ("unknown-AS3", [3], [3, 4], [(3, 4, "peer")])
+    assert two.externalNeighborAsnCount == 1 and built["links"].first().providerCustomerCount == 1
+    write_snapshot(built, str(tmp_path))
+    assert {r.asn: r.grp for r in spark.read.json(str(tmp_path / "members")).collect()} == {1: "g01", 2: "g01", 3: "g02", 4: "g02"}
+    assert spark.read.json(str(tmp_path / "metadata")).count() == 1
