@@ -64,10 +64,13 @@ class Engine:
     def lookup(self, probes: DataFrame) -> DataFrame:
         return routing.lookup(probes, self.store.table("routes"))
 
-    def compare_paths(self, ip_a: str, ip_b: str, peer_id: str) -> DataFrame:
-        """Both addresses from one session. Blank input, an address that cannot be read, and an unknown session are errors."""
+    def compare_paths(self, ip_a: str, ip_b: str, peer_id: str | None = None) -> DataFrame:
+        """Both addresses from one session, the default one if none is named. Blank input, an address that cannot be read, and an unknown session are errors."""
         if not ip_a.strip() or not ip_b.strip():
             raise ValueError("two addresses are needed")
+        if peer_id is None:
+            routes, peers = self.store.table("routes"), self.store.table("peers")
+            peer_id = routing.default_peer(routing.prefix_counts(routes), peers).first().default_peer
         pair = self.spark.createDataFrame([(0, peer_id, ip_a.strip(), ip_b.strip())], "pair_id int, peer_id string, ip_a string, ip_b string")
         out = routing.compare(pair, self.store.table("routes"))
         wrong = F.col("status_a").isin("invalid_ip", "unknown_peer") | F.col("status_b").isin("invalid_ip", "unknown_peer")

@@ -127,6 +127,7 @@ def test_metadata_compare_and_failed_load(spark, engine):
     assert meta[V4].prefix_counts == {"4": 7} and meta[V4].is_default and not meta[V6].is_default and meta[V6].families == [6]
     r = engine.compare_paths(" 203.0.113.9", "100.64.7.7 ", V4).first()
     assert (r.trunk, r.branch_a, r.branch_b, r.relation) == ([3491], [2914, 64499], [7018], "shared_then_split")
+    assert engine.compare_paths("203.0.113.9", "100.64.7.7").drop("pair_id").first() == engine.compare_paths("203.0.113.9", "100.64.7.7", V4).drop("pair_id").first()
     for a, b, p in (("", "100.64.7.7", V4), ("100.64.7", "100.64.7.7", V4), ("100.64.7.7", "100.64.7.7", "x")):
         with pytest.raises(Exception):
             engine.compare_paths(a, b, p).collect()
