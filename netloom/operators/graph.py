@@ -157,3 +157,95 @@ def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUN
         if still == 2:
             return labels
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+
+def modularity_communities(nodes: DataFrame, edges: DataFrame, least: float = 1e-4) -> DataFrame:
+    """asn, grp (a community's lowest number): communities that raise modularity, by moves and contraction in turn.
+
+    Within a level each node may join the neighbouring community of the highest gain, of equals the lowest; a level's
+    communities are the nodes of the next. In a round a community either gives or takes nodes, by a bit of its hash, so
+    that no two nodes swap places; a node is drawn with a chance that falls with the strength that wants into its target
+    and out of its own community, since many joining at once would gain less than each alone. A round that lowers
+    modularity is undone and tried with a quarter of the chance. A level ends when no node wants to move, or after three
+    rounds with moves and a gain below `least`, or undone rounds at a chance of 1/64; levels end when one gains less than
+    `least`. So every loop ends, and modularity never falls. A round is a few joins and combined aggregations of the
+    level's links, without windows; only counts and sums reach the driver. Repeated links count once; links of a node with
+    itself or with an end that is no node do not count; a node without links stays alone.
+    """
+    own = cut(nodes.where("asn IS NOT NULL").select("asn").distinct())
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(own.toDF("a"), "a", "left_semi").join(own.toDF("b"), "b", "left_semi")
+    links = cut(pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), F.lit(1).cast("bigint").alias("w")).select("e.*", "w"))
+    member = own.select("asn", F.col("asn").alias("node"))
+    total = links.count()  # each link counts from both ends
+    if not total:
+        return member.select("asn", F.col("node").alias("grp"))
+    strength = links.groupBy(F.col("a").alias("asn")).agg(F.sum("w").alias("k"))
+    level = cut(own.join(strength, "asn", "left").select("asn", F.coalesce("k", F.lit(0)).alias("k"), F.lit(0).cast("bigint").alias("loops"), F.col("asn").alias("grp")))
+    reached = None
+    while True:
+        level, quality = _raise_modularity(level, links, total, least)
+        member = cut(member.join(level.select(F.col("asn").alias("node"), "grp"), "node").select("asn", F.col("grp").alias("node")))
+        if reached is not None and quality <= reached + least:
+            break
+        reached = quality
+        to = level.select("asn", "grp")
+        joined = cut(links.join(to.toDF("a", "ga"), "a").join(to.toDF("b", "gb"), "b").groupBy(F.col("ga").alias("a"), F.col("gb").alias("b")).agg(F.sum("w").alias("w")))
+        inner = joined.where("a = b").select(F.col("a").alias("grp"), F.col("w").alias("inner"))
+        links = joined.where("a <> b")
+        sums = level.groupBy("grp").agg(F.sum("k").alias("k"), F.sum("loops").alias("loops")).join(inner, "grp", "left")
+        level = cut(sums.select(F.col("grp").alias("asn"), "k", (F.col("loops") + F.coalesce("inner", F.lit(0))).alias("loops"), "grp"))
+    names = member.groupBy("node").agg(F.min("asn").alias("grp"))
+    return member.join(names, "node").select("asn", "grp")
+
+
+def _raise_modularity(level: DataFrame, links: DataFrame, total: int, least: float) -> tuple[DataFrame, float]:
+    """level with the communities of one level's moves, and their modularity. level: asn, k, loops, grp."""
+    kept = now = level
+    best, chance, small, turn, moved = -1.0, 1.0, 0, 0, 0
+    while True:
+        step = cut(_moves(now, links, total, chance, turn))
+        squares = step.groupBy("grp").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s").cast("double") * F.col("s")).alias("squares"))
+        r = step.agg(F.sum(F.col("loops") + F.col("near")).alias("inner"), F.count_if("wants").alias("wants"), F.count_if(F.col("next") != F.col("grp")).alias("moved")).crossJoin(squares).first()
+        quality = r.inner / total - r.squares / total / total
+        turn += 1
+        if quality < best - 1e-12:
+            chance /= 4
+            if chance < 1 / 64:
+                return kept, best
+            now, moved = kept, 0
+            continue
+        if moved:
+            small = small + 1 if quality <= best + least else 0
+        kept, best, moved = now, quality, r.moved
+        if not r.wants or small == 3:
+            return kept, best
+        now = step.select("asn", "k", "loops", F.col("next").alias("grp"))
+
+
+def _moves(now: DataFrame, links: DataFrame, total: int, chance: float, turn: int) -> DataFrame:
+    """now with near (weight to the own community), wants (a better one exists) and next (the community after this round)."""
+    sums = now.groupBy("grp").agg(F.sum("k").alias("s")).withColumnRenamed("grp", "to")
+    own = now.select("asn", F.col("grp").alias("to"), F.lit(0).cast("bigint").alias("w"))
+    votes = links.join(now.select(F.col("asn").alias("b"), F.col("grp").alias("to")), "b").select(F.col("a").alias("asn"), "to", "w").unionByName(own)
+    votes = votes.groupBy("asn", "to").agg(F.sum("w").alias("w")).join(sums, "to").join(now, "asn")
+    here = F.col("to") == F.col("grp")
+    gain = F.col("w") - F.col("k") * (F.col("s") - F.when(here, F.col("k")).otherwise(0)) / F.lit(float(total))
+    per = votes.withColumns({"gain": gain, "here": here}).groupBy("asn", "k", "loops", "grp").agg(
+        F.max(F.struct("gain", (-F.col("to")).alias("low"))).alias("top"), F.max(F.when(F.col("here"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("here"), F.col("w"))).alias("near"))
+    per = per.select("asn", "k", "loops", "grp", "near", (F.col("top.gain") - F.col("stay")).alias("more"), (-F.col("top.low")).alias("to")).withColumn("wants", F.col("more") > 1e-9)
+    bit = lambda c: F.shiftright(F.xxhash64(c), turn // 2 % 64).bitwiseAND(F.lit(1))
+    ready = F.col("wants") & (bit("grp") == turn % 2) & (bit("to") != turn % 2)  # two communities differ in some bit
+    per = cut(per.withColumn("ready", ready))
+    flow = lambda c: per.where("ready").groupBy(F.col(c).alias(f"{c}_")).agg(F.sum("k").alias(f"flow_{c}"))
+    into, out = flow("to"), flow("grp")
+    per = per.join(into, F.col("to") == F.col("to_"), "left").join(out, F.col("grp") == F.col("grp_"), "left")
+    others = F.greatest(F.col("flow_to") - F.col("k"), F.lit(0)) + F.greatest(F.col("flow_grp") - F.col("k"), F.lit(0))
+    slack = F.col("more") * total / F.greatest(F.col("k"), F.lit(1))  # how much strength may move before this gain is gone
+    drawn = F.pmod(F.xxhash64("asn", F.lit(turn)), F.lit(1 << 20)) < F.lit(chance * (1 << 20)) * F.least(F.lit(1.0), 2 * slack / F.greatest(others, F.lit(1)))
+    return per.select("asn", "k", "loops", "grp", "near", "wants", F.when(F.col("ready") & drawn, F.col("to")).otherwise(F.col("grp")).alias("next"))
+
+
+def find_communities(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """asn, grp (g01 …): communities found by modularity, split, merged and ranked."""
+    return settle_communities(edges, modularity_communities(nodes, edges), most)

@@ -387,6 +387,12 @@ def topology_build(spark, sf_dir):
     return build_topology(views.edge_rows(spark, sf_dir), m, views.as_info(spark, sf_dir), views.organizations(spark, sf_dir))
 
 
+@query("q28_modularity_communities")
+def q28_modularity(spark, sf_dir):
+    """Communities by modularity of all nodes, checked against a search that moves one node at a time (tests)."""
+    return graph.modularity_communities(views.membership(spark, sf_dir), views.edges(spark, sf_dir))
+
+
 @query("q30_tile_documents", f"""{ORDER}, {ORGS}, o AS (SELECT asn, grp, position AS pos, count(*) OVER (PARTITION BY grp) AS n FROM bfs),
 b AS (SELECT *, n // CAST(ceil(n / 240.0) AS BIGINT) AS base, n % CAST(ceil(n / 240.0) AS BIGINT) AS rest FROM o),
 t AS (SELECT asn, grp, grp || '-c' || format('{{:03d}}', 1 + CASE WHEN pos < rest * (base + 1) THEN pos // (base + 1) ELSE rest + (pos - rest * (base + 1)) // base END) AS tile FROM b),

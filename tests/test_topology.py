@@ -235,3 +235,71 @@ def test_snapshot_needs_connected_groups_of_all_networks(spark, tmp_path):
     write_snapshot(built, str(tmp_path))
     assert {r.asn: r.grp for r in spark.read.json(str(tmp_path / "members")).collect()} == {1: "g01", 2: "g01", 3: "g02", 4: "g02"}
     assert spark.read.json(str(tmp_path / "metadata")).count() == 1
+
+
+def one_by_one(edges):
+    """Communities by modularity, a node moving at a time: the measure for the parallel search."""
+    near, loops = {}, {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = near.get(x, {}).get(y, 0) + 1
+    total, member = 2 * len(edges), {x: x for x in near}
+    while True:
+        of = {x: x for x in near}
+        k = {x: sum(w.values()) + loops.get(x, 0) for x, w in near.items()}
+        size, moved, any_move = dict(k), True, False
+        while moved:
+            moved = False
+            for x in sorted(near):
+                size[of[x]] -= k[x]
+                votes = {of[x]: 0}
+                for y, w in near[x].items():
+                    votes[of[y]] = votes.get(of[y], 0) + w
+                to = max(votes, key=lambda c: (votes[c] - k[x] * size[c] / total, c == of[x]))
+                if votes[to] - k[x] * size[to] / total > votes[of[x]] - k[x] * size[of[x]] / total + 1e-9:
+                    of[x], moved, any_move = to, True, True
+                size[of[x]] += k[x]
+        member = {x: of[c] for x, c in member.items()}
+        if not any_move:
+            return member
+        joined, inner = {}, {}
+        for x, ws in near.items():
+            inner[of[x]] = inner.get(of[x], 0) + loops.get(x, 0)
+            joined.setdefault(of[x], {})
+            for y, w in ws.items():
+                if of[x] == of[y]:
+                    inner[of[x]] += w
+                else:
+                    joined[of[x]][of[y]] = joined[of[x]].get(of[y], 0) + w
+        near, loops = joined, inner
+
+
+def quality(edges, member):
+    ends, inner = {}, 0
+    for a, b in edges:
+        inner += member[a] == member[b]
+        for x in (a, b):
+            ends[member[x]] = ends.get(member[x], 0) + 1
+    return inner / len(edges) - sum(v * v for v in ends.values()) / (4 * len(edges) ** 2)
+
+
+def test_modularity_communities(spark):
+    ring = [(c * 6 + i, c * 6 + j) for c in range(8) for i in range(6) for j in range(i)] + [(c * 6, (c + 1) % 8 * 6 + 1) for c in range(8)]
+    rng = random.Random(5)
+    star = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 39, 2)]
+    loose = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)})
+    shift = lambda es, by: [(a + by, b + by) for a, b in es]
+    for es, exact in ((ring, {x: x // 6 * 6 for x in range(48)}), (shift(star, 100) + shift(loose, 200), None)):
+        nodes = sorted({x for e in es for x in e}) + [999]
+        n = spark.createDataFrame([(x,) for x in nodes + nodes[:3]] + [(None,)], "asn bigint")
+        e = spark.createDataFrame(es + [(b, a) for a, b in es[:9]] + [(es[0][0],) * 2, (es[0][0], 77777), (None, 3)], "a bigint, b bigint")
+        got = {r.asn: r.grp for r in graph.modularity_communities(n, e).collect()}
+        assert set(got) == set(nodes) and got.pop(999) == 999
+        assert all(g == min(x for x in got if got[x] == g) for g in got.values())
+        if exact:
+            assert got == exact
+        assert quality(es, got) >= quality(es, one_by_one(es)) - 0.02
+    ranked = graph.find_communities(spark.createDataFrame([(x,) for x in range(7)], "asn bigint"), spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 3), (6, 5), (6, 4)], "a bigint, b bigint"), 2)
+    assert {r.asn: r.grp for r in ranked.collect()} == {x: "g02" if x < 3 else "g01" for x in range(7)}
+    empty = graph.modularity_communities(spark.createDataFrame([(1,)], "asn bigint"), spark.createDataFrame([], "a bigint, b bigint")).collect()
+    assert [tuple(r) for r in empty] == [(1, 1)]
