@@ -179,10 +179,13 @@ def tile_count(n: int, target: int = TILE) -> int:
 
 
 def manifest(placed: DataFrame, tiled: DataFrame) -> DataFrame:
-    """Totals, invariants and tile sizes in one row."""
+    """Totals, links within tiles and between tiles of one group, invariants and tile sizes in one row."""
     sizes = tiled.groupBy("tile").agg(F.count("*").alias("n")).agg(F.count("*").alias("tiles"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.avg("n").alias("mean"), F.sum("n").alias("nodes"))
-    t = totals(placed)
-    return t.crossJoin(sizes).withColumn("sound", (F.col("peer_links") + F.col("provider_customer_links") == F.col("links")) & (F.col("within") + F.col("between") == F.col("links")))
+    t = tiled.select("asn", "tile")
+    inner = placed.where("ga = gb").join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
+    inner = inner.agg(F.count_if(F.expr("ta = tb")).alias("within_tiles"), F.count_if(F.expr("ta <> tb")).alias("between_tiles"))
+    sound = (F.col("peer_links") + F.col("provider_customer_links") == F.col("links")) & (F.col("within_tiles") + F.col("between_tiles") + F.col("between") == F.col("links"))
+    return totals(placed).crossJoin(sizes).crossJoin(inner).withColumn("sound", sound)
 
 
 def same_nodes(a: DataFrame, b: DataFrame) -> DataFrame:

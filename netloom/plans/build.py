@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from netloom.operators import graph, layout
 from netloom.operators import topology as topo
 from netloom.plans import publish
+from netloom.plans.snapshot import metadata
 from netloom.session import cut
 
 
-def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs: DataFrame, target: int = topo.TILE) -> dict[str, DataFrame]:
+def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs: DataFrame, target: int = topo.TILE, **known) -> dict[str, DataFrame]:
     """Tables by name: edges, adjacency, index, tiles, names; and documents (key, json): tile, group, root, overview.
 
-    rows: a, b, rel, line_no; membership: asn, grp (g01 …); info: asn, name, org_id; orgs: org_id, name, country.
+    rows: a, b, rel, line_no; membership: asn, grp (g01 …); info: asn, name, org_id; orgs: org_id, name, country; known:
+    about, clique, dates, sources for the overview's metadata, as build_snapshot takes them.
     """
     edges = cut(topo.known_edges(topo.first_edges(rows), membership))
     adj = topo.adjacency(edges)
@@ -68,9 +70,9 @@ def build_topology(rows: DataFrame, membership: DataFrame, info: DataFrame, orgs
     rows_of = lambda *fields: groups.join(country, "seed").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("groups"))
     links = lambda *fields: pairs.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("links"))
     root = rows_of(F.col("grp").alias("id"), "label", "count", F.col("seed").alias("seedAsn"), layout.palette_color(rank).alias("color")).crossJoin(links("source", "target", "count"))
-    meta = topo.totals(by_group).crossJoin(membership.agg(F.count("*").alias("totalAS")))
-    named = {"links": "totalLinks", "peer_links": "peerLinks", "provider_customer_links": "providerCustomerLinks", "within": "withinGroupLinks", "between": "betweenGroupLinks"}
-    meta = meta.select(F.map_from_entries(F.array(F.struct(F.lit("totalAS"), F.col("totalAS").cast("string")), *[F.struct(F.lit(v), F.col(k).cast("string")) for k, v in named.items()])).alias("meta"))
+    org_of = membership.select("asn").join(info.select("asn", "org_id"), "asn", "left").select("asn", F.coalesce("org_id", F.concat(F.lit("unknown-AS"), F.col("asn"))).alias("org_id"))
+    facts = metadata(rows, by_group, membership, org_of, known.get("about") or {}, known.get("clique"), known.get("dates"), known.get("sources"))
+    meta = facts.select(F.struct(*facts.columns).alias("meta"))
     overview = meta.crossJoin(rows_of(F.col("grp").alias("id"), "label", F.col("seed").alias("seedAsn"), F.col("count").alias("asnCount"), "country")).crossJoin(links("source", "target", "count", F.col("peer_count").alias("peerCount"), F.col("provider_customer_count").alias("providerCustomerCount")))
     json = lambda df, name: df.select(F.lit(name).alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
     return {

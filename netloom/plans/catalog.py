@@ -341,7 +341,8 @@ def q26(spark, sf_dir):
 
 @query("q27_manifest", f"""WITH {EDGES}, {GROUPS}, {TILES}, s AS (SELECT tile, count(*) AS n FROM t GROUP BY tile)
 SELECT count(*) AS links, count(*) FILTER (rel = 0) AS peer_links, count(*) FILTER (rel = -1) AS provider_customer_links, count(*) FILTER (ga = gb) AS within, count(*) FILTER (ga <> gb) AS between,
-  (SELECT count(*) FROM s) AS tiles, (SELECT min(n) FROM s) AS smallest, (SELECT max(n) FROM s) AS largest, (SELECT round(avg(n), 6) FROM s) AS mean, (SELECT CAST(sum(n) AS BIGINT) FROM s) AS nodes, true AS sound FROM placed""")
+  (SELECT count(*) FROM s) AS tiles, (SELECT min(n) FROM s) AS smallest, (SELECT max(n) FROM s) AS largest, (SELECT round(avg(n), 6) FROM s) AS mean, (SELECT CAST(sum(n) AS BIGINT) FROM s) AS nodes, count(*) FILTER (ga = gb AND x.tile = y.tile) AS within_tiles, count(*) FILTER (ga = gb AND x.tile <> y.tile) AS between_tiles,
+  true AS sound FROM placed LEFT JOIN t x ON a = x.asn LEFT JOIN t y ON b = y.asn""")
 def q27(spark, sf_dir):
     placed = topo.with_groups(views.edges(spark, sf_dir), views.membership(spark, sf_dir))
     return topo.manifest(placed, tiled(spark, sf_dir)).withColumn("mean", F.round("mean", 6))

@@ -40,7 +40,10 @@ def test_topology_build(spark, sf, tmp_path):
     assert [(x["source"], x["target"], x["count"]) for x in root["links"]] == [(x["source"], x["target"], x["count"]) for x in overview["links"]]
     assert all(x["count"] == x["peerCount"] + x["providerCustomerCount"] for x in overview["links"])
     assert int(overview["meta"]["totalLinks"]) == len(edges) and int(overview["meta"]["totalAS"]) == len(index) == sum(g["asnCount"] for g in overview["groups"])
-    assert built["manifest"].first().sound
+    meta = overview["meta"]
+    assert len(meta) == 26 and meta["withinGroupLinks"] + meta["betweenGroupLinks"] == meta["totalLinks"] and meta["groupCount"] == len(groups) and meta["unassignedAsns"] == []
+    facts = built["manifest"].first()
+    assert facts.sound and facts.within_tiles == sum(len(t["links"]) for t in tiles.values()) and facts.between_tiles == sum(x["count"] for g in groups.values() for x in g["links"])
     write_topology({k: built[k] for k in ("overview", "adjacency", "names", "index")}, str(tmp_path))
     assert read_asset(spark, "overview", str(tmp_path / "overview" / "key=overview")).first().groups[0].id == "g01"
     back = lambda name: read_asset(spark, name, str(tmp_path / name / ("" if name == "index" else "*")), lines=True).collect()
