@@ -414,9 +414,22 @@ def q30(spark, sf_dir):
     return d.select("id", "parent", "label", "count", F.col("seedAsn").alias("seed_asn"), "partition", F.col("connectedComponents").alias("connected_components"), F.col("externalLinkCount").alias("external_links"), nodes.alias("nodes"), links.alias("links"))
 
 
-@query("q30_overview_document")
+@query("q30_overview_document", f"""WITH {EDGES}, {GROUPS}, {ORGS}, d AS (SELECT m.asn, grp, coalesce(degree, 0) AS degree FROM m LEFT JOIN deg ON m.asn = deg.asn),
+x AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, asn) AS r FROM d),
+g AS (SELECT grp, n, x.asn AS seed, coalesce(orgs.name, info.name, 'AS' || x.asn) AS label, coalesce(country, '') AS country FROM x LEFT JOIN info ON info.asn = x.asn LEFT JOIN orgs ON orgs.org_id = info.org_id WHERE r = 1),
+p AS (SELECT least(ga, gb) AS s, greatest(ga, gb) AS t, count(*) AS n, count(*) FILTER (rel = 0) AS peers FROM placed WHERE ga <> gb GROUP BY ALL)
+SELECT (SELECT count(*) FROM m) AS networks, count(*) AS links, count(*) FILTER (ga = gb) AS within, (SELECT count(*) FROM rows_) AS raw, (SELECT count(*) FROM g) AS n_groups,
+  (SELECT count(DISTINCT coalesce(org_id, 'unknown-AS' || m.asn)) FROM m LEFT JOIN info ON info.asn = m.asn) AS organizations,
+  (SELECT string_agg(grp || ':' || label || ':' || seed || ':' || n || ':' || country, ';' ORDER BY grp) FROM g) AS groups,
+  (SELECT string_agg(s || '-' || t || ':' || n || ':' || peers, ';' ORDER BY s, t) FROM p) AS pairs FROM placed""")
 def q30_overview(spark, sf_dir):
-    return topology_build(spark, sf_dir)["overview"]
+    """The overview, read back: counts of its metadata, its groups and the links between them."""
+    d = topology_build(spark, sf_dir)["overview"].select(F.from_json("json", ASSETS["overview"]).alias("d")).select("d.*")
+    counts = {"networks": "totalAS", "links": "totalLinks", "within": "withinGroupLinks", "raw": "rawRelationshipRows", "n_groups": "groupCount", "organizations": "totalOrganizations"}
+    text = lambda c, *parts: F.array_join(F.transform(c, lambda e: F.concat(*[F.lit(p) if len(p) == 1 else e[p].cast("string") for p in parts])), ";")
+    groups = text("groups", "id", ":", "label", ":", "seedAsn", ":", "asnCount", ":", "country")
+    pairs = text("links", "source", "-", "target", ":", "count", ":", "peerCount")
+    return d.select(*[F.col("meta")[v].cast("bigint").alias(k) for k, v in counts.items()], groups.alias("groups"), pairs.alias("pairs"))
 
 
 @query("q31_distance_maps", f"""{DISTANCES}, h AS (SELECT distance, count(*) AS n FROM f GROUP BY distance) SELECT 'g01' AS grp, '{{' || string_agg('"' || distance || '":' || n, ',' ORDER BY distance) || '}}' AS distances FROM h""")
