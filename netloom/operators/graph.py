@@ -18,6 +18,7 @@ ROUNDS = 200
 def distances(starts: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """grp, asn, distance from the group's start along edges within the group. starts: grp, asn; adj: grp, asn, nbr."""
     front = found = cut(starts.select("grp", "asn", F.lit(0).alias("distance")))
+    adj = cut(adj.select("grp", "asn", "nbr"))  # else every level derives it anew
     for d in range(1, rounds):  # each level is written once; what was found is the union of the levels
         new = front.join(adj, ["grp", "asn"]).select("grp", F.col("nbr").alias("asn")).distinct().join(found, ["grp", "asn"], "left_anti")
         front = cut(new.withColumn("distance", F.lit(d)))

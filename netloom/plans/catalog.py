@@ -11,8 +11,9 @@ from netloom.functions import dates, ip as ipf, paths as pf
 from netloom.operators import explorer, graph, layout, routing
 from netloom.operators import topology as topo
 from netloom.plans import publish, views
-from netloom.sources.topology import ASSETS
 from netloom.plans.views import EDGES, GROUPS, ORGS, PATHS, PROBES, RAW, SHOWN, V4, table
+from netloom.session import cut
+from netloom.sources.topology import ASSETS
 
 QUERIES, ORACLES = {}, {}
 
@@ -185,7 +186,7 @@ f AS (SELECT asn, min(distance) AS distance FROM d GROUP BY asn)"""
 
 
 def distances(spark, sf_dir):
-    adj = topo.adjacency(views.edges(spark, sf_dir))
+    adj = topo.adjacency(cut(views.edges(spark, sf_dir)))  # the start and the levels both need them
     seed = topo.seeds(adj.select("asn").distinct().withColumn("grp", F.lit("g01")), topo.degrees(adj))
     return graph.distances(seed.select("grp", F.col("seed").alias("asn")), adj.select(F.lit("g01").alias("grp"), "asn", "nbr"))
 
