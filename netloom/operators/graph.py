@@ -1,11 +1,16 @@
 """Graph operators: breadth-first order and distances, components, communities.
 
 Loops are level by level over DataFrames; each round is written to the shared folder, which cuts lineage and
-survives lost executors. Only counts reach the driver, and for community merging one row per community pair.
+survives lost executors. Only counts reach the driver, for community merging one row per community pair, and for
+communities by modularity some numbers per node.
 """
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from netloom.operators.topology import rank_groups
 from netloom.session import cut
 
 ROUNDS = 200
+PACK, FIT = 1 << 20, 1 << 21  # links of a packed row; of a level that is worked off without Spark
+MASK = 0xFFFFFFFF
 
 
 def distances(starts: DataFrame, adj: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -160,7 +167,7 @@ def propagate_communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUN
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
-def modularity_communities(nodes: DataFrame, edges: DataFrame, least: float = 1e-4) -> DataFrame:
+def modularity_communities(nodes: DataFrame, edges: DataFrame, least: float = 1e-4, fit: int = FIT) -> DataFrame:
     """asn, grp (a community's lowest number): communities that raise modularity, by moves and contraction in turn.
 
     Within a level each node may join the neighbouring community of the highest gain, of equals the lowest; a level's
@@ -169,46 +176,185 @@ def modularity_communities(nodes: DataFrame, edges: DataFrame, least: float = 1e
     and out of its own community, since many joining at once would gain less than each alone. A round that lowers
     modularity is undone and tried with a quarter of the chance. A level ends when no node wants to move, or after three
     rounds with moves and a gain below `least`, or undone rounds at a chance of 1/64; levels end when one gains less than
-    `least`. So every loop ends, and modularity never falls. A round is a few joins and combined aggregations of the
-    level's links, without windows; only counts and sums reach the driver. Repeated links count once; links of a node with
-    itself or with an end that is no node do not count; a node without links stays alone.
+    `least`. So every loop ends, and modularity never falls. Repeated links count once; links of a node with itself or with
+    an end that is no node do not count; a node without links stays alone.
+
+    Links are shuffled once a level and packed in the shared folder, each node's in one row; a round reads them where they
+    lie and moves none. The driver holds some numbers per node (its community and strength, about 60 bytes in all) and hands
+    them to the tasks, which answer with the nodes that want to move. A level of at most `fit` links is worked off without
+    Spark. The result does not depend on `fit` or on how links are dealt.
     """
-    own = cut(nodes.where("asn IS NOT NULL").select("asn").distinct())
-    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(own.toDF("a"), "a", "left_semi").join(own.toDF("b"), "b", "left_semi")
-    links = cut(pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), F.lit(1).cast("bigint").alias("w")).select("e.*", "w"))
-    member = own.select("asn", F.col("asn").alias("node"))
-    total = links.count()  # each link counts from both ends
-    if not total:
-        return member.select("asn", F.col("node").alias("grp"))
-    strength = links.groupBy(F.col("a").alias("asn")).agg(F.sum("w").alias("k"))
-    level = cut(own.join(strength, "asn", "left").select("asn", F.coalesce("k", F.lit(0)).alias("k"), F.lit(0).cast("bigint").alias("loops"), F.col("asn").alias("grp")))
-    reached = None
-    while True:
-        level, quality = _raise_modularity(level, links, total, least)
-        member = cut(member.join(level.select(F.col("asn").alias("node"), "grp"), "node").select("asn", F.col("grp").alias("node")))
+    kind = nodes.schema["asn"].dataType.simpleString()
+    own = cut(nodes.where("asn IS NOT NULL").select(F.col("asn").cast("bigint").alias("asn")).distinct())
+    ids = np.sort(own.toArrow().column(0).to_numpy())
+    ends = edges.where("a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    both = ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*", F.lit(1).cast("bigint").alias("w"))
+    links = _Links(both, fit, ids)
+    k = np.zeros(len(ids), np.int64)
+    for i, s in links.each(_strengths):
+        k[i] = s
+    total, loops = int(k.sum()), np.zeros(len(ids), np.int64)  # each link counts from both ends
+    member, reached = np.arange(len(ids), dtype=np.int32), None
+    while total:
+        label, quality = _raise_modularity(links, k, loops, total, least)
+        names, label = np.unique(label, return_inverse=True)
+        label = label.astype(np.int32)
+        member = label[member]
         if reached is not None and quality <= reached + least:
             break
         reached = quality
-        to = level.select("asn", "grp")
-        joined = cut(links.join(to.toDF("a", "ga"), "a").join(to.toDF("b", "gb"), "b").groupBy(F.col("ga").alias("a"), F.col("gb").alias("b")).agg(F.sum("w").alias("w")))
-        inner = joined.where("a = b").select(F.col("a").alias("grp"), F.col("w").alias("inner"))
-        links = joined.where("a <> b")
-        sums = level.groupBy("grp").agg(F.sum("k").alias("k"), F.sum("loops").alias("loops")).join(inner, "grp", "left")
-        level = cut(sums.select(F.col("grp").alias("asn"), "k", (F.col("loops") + F.coalesce("inner", F.lit(0))).alias("loops"), "grp"))
-    names = member.groupBy("node").agg(F.min("asn").alias("grp"))
-    return member.join(names, "node").select("asn", "grp")
-
-
-def _raise_modularity(level: DataFrame, links: DataFrame, total: int, least: float) -> tuple[DataFrame, float]:
-    """level with the communities of one level's moves, and their modularity. level: asn, k, loops, grp."""
-    kept = now = level
+        links, inner = links.contracted(label, len(names))
+        k, loops = (np.bincount(label, x, len(names)).astype(np.int64) for x in (k, loops))  # sums below 2^53
+        loops += inner
+    first = np.full(len(ids), len(ids))
+    np.minimum.at(first, member, np.arange(len(ids)))
+    return own.mapInArrow(_named(ids, ids[first[member]]), "asn bigint, grp bigint").select(F.col("asn").cast(kind).alias("asn"), F.col("grp").cast(kind).alias("grp"))
+
+
+def _named(ids: np.ndarray, names: np.ndarray):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[np.searchsorted(ids, b.column(0).to_numpy())])], ["asn", "grp"])
+
+    return run
+
+
+def _packing(ids: np.ndarray | None):
+    """Rows (a, b, w) sorted by a, as rows of PACK links or so that hold all links of their nodes: both ends' places among
+    ids, and weights unless all are 1. Links with an end outside ids go, and repeated ones."""
+
+    def pack(parts):
+        a, b, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if ids is not None:
+            x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            known = (ids[np.minimum(x, len(ids) - 1)] == a) & (ids[np.minimum(y, len(ids) - 1)] == b) if len(ids) else np.zeros(len(a), bool)
+            a, b, w = x[known], y[known], w[known]
+        key, at = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64), return_index=True)
+        w = w[at]
+        columns = [(key >> 32).astype(np.int32).tobytes(), (key & MASK).astype(np.int32).tobytes(), b"" if (w == 1).all() else w.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["n", "a", "b", "w"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            now = tuple(c.to_numpy() for c in batch.columns)
+            if not len(now[0]):
+                continue
+            if n >= PACK and (now[0] != held[-1][0][-1]).any():
+                end = int(np.searchsorted(now[0], held[-1][0][-1], "right"))
+                yield pack([*held, tuple(c[:end] for c in now)])
+                held, n, now = [], 0, tuple(c[end:] for c in now)
+            held.append(now)
+            n += len(now[0])
+        if held:
+            yield pack(held)
+
+    return run
+
+
+class _Links:
+    """A level's links from both ends, packed: in the shared folder, or in memory if they are at most `fit`."""
+
+    def __init__(self, links: DataFrame | None, fit: int, ids: np.ndarray | None = None, rows: list | None = None):
+        self.fit, self.rows = fit, rows
+        if rows is None:
+            self.table = cut(links.repartition("a").sortWithinPartitions("a").mapInArrow(_packing(ids), "n long, a binary, b binary, w binary"))
+            if (self.table.agg(F.sum("n").alias("n")).first().n or 0) <= fit:
+                self.rows = [_unpacked(r) for r in self.table.collect()]
+
+    def each(self, f) -> list:
+        """f(a, b, w) of each row."""
+        if self.rows is not None:
+            return [f(*r) for r in self.rows]
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(*_unpacked(r))) for r in batch.to_pylist()], pa.binary())], ["x"])
+
+        return [pickle.loads(r.x) for r in self.table.mapInArrow(run, "x binary").collect()]
+
+    def contracted(self, label: np.ndarray, size: int) -> tuple[_Links, np.ndarray]:
+        """The links between communities, and each community's weight within."""
+        if self.rows is not None:
+            parts = [_joined(label, *r) for r in self.rows] or [(np.zeros(0, np.int64),) * 3]
+            a, b, w = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            inner = a == b
+            sums = np.bincount(a[inner], w[inner], size).astype(np.int64)
+            return _Links(None, self.fit, rows=[(a[~inner], b[~inner], w[~inner])]), sums
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(label, *_unpacked(r))], ["a", "b", "w"])
+
+        joined = cut(self.table.mapInArrow(run, "a long, b long, w long").groupBy("a", "b").agg(F.sum("w").alias("w")))
+        sums = np.zeros(size, np.int64)
+        inner = joined.where("a = b").select("a", "w").toArrow()
+        sums[inner.column(0).to_numpy()] = inner.column(1).to_numpy()
+        return _Links(joined.where("a <> b"), self.fit), sums
+
+
+def _unpacked(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = np.frombuffer(r["a"], np.int32)
+    return a, np.frombuffer(r["b"], np.int32), np.frombuffer(r["w"], np.int64) if r["w"] else np.ones(len(a), np.int64)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links with the weights of equal ones summed, sorted."""
+    if not len(a):
+        return a, b, w
+    key = a.astype(np.int64) << 32 | b
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[start] >> 32, key[start] & MASK, np.add.reduceat(w[order], start)
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+    return _summed(label[a], label[b], w)
+
+
+def _strengths(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    return a[start], np.add.reduceat(w, start) if len(a) else start
+
+
+def _wishes(label: np.ndarray, k: np.ndarray, strength: np.ndarray, total: int):
+    """Of a row's nodes: those that gain by a move, where to and how much; the weight of links within communities."""
+
+    def f(a, b, w):
+        i, c, votes = _summed(a, label[b], w)
+        if not len(i):
+            return i, i, i.astype(float), 0
+        here = c == label[i]
+        gain = votes - k[i] * (strength[c] - here * k[i]) / total
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        node, size = i[start], np.diff(np.r_[start, len(i)])
+        top = np.maximum.reduceat(gain, start)
+        stay = -k[node] * (strength[label[node]] - k[node]) / total + np.add.reduceat(here * votes, start)
+        best = np.minimum.reduceat(np.where(gain == np.repeat(top, size), c, MASK), start)
+        wants = top - stay > 1e-9
+        return node[wants].astype(np.int32), best[wants].astype(np.int32), (top - stay)[wants], int(votes[here].sum())
+
+    return f
+
+
+def _hash(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 mixed bits of each number."""
+    x = x.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
+
+
+def _raise_modularity(links: _Links, k: np.ndarray, loops: np.ndarray, total: int, least: float) -> tuple[np.ndarray, float]:
+    """The communities after one level's moves, and their modularity."""
+    kept = now = np.arange(len(k), dtype=np.int32)
     best, chance, small, turn, moved = -1.0, 1.0, 0, 0, 0
     while True:
-        step = cut(_moves(now, links, total, chance, turn))
-        squares = step.groupBy("grp").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s").cast("double") * F.col("s")).alias("squares"))
-        r = step.agg(F.sum(F.col("loops") + F.col("near")).alias("inner"), F.count_if("wants").alias("wants"), F.count_if(F.col("next") != F.col("grp")).alias("moved")).crossJoin(squares).first()
-        quality = r.inner / total - r.squares / total / total
+        strength = np.bincount(now, k, len(k)).astype(np.int64)
+        found = links.each(_wishes(now, k, strength, total))
+        quality = (sum(x[3] for x in found) + int(loops.sum())) / total - float((strength / total) @ (strength / total))
         turn += 1
         if quality < best - 1e-12:
             chance /= 4
@@ -218,33 +364,26 @@ def _raise_modularity(level: DataFrame, links: DataFrame, total: int, least: flo
             continue
         if moved:
             small = small + 1 if quality <= best + least else 0
-        kept, best, moved = now, quality, r.moved
-        if not r.wants or small == 3:
+        kept, best = now, quality
+        i, to, more = (np.concatenate(x) for x in list(zip(*found, strict=True))[:3]) if found else (np.zeros(0, np.int32),) * 3
+        if not len(i) or small == 3:
             return kept, best
-        now = step.select("asn", "k", "loops", F.col("next").alias("grp"))
-
-
-def _moves(now: DataFrame, links: DataFrame, total: int, chance: float, turn: int) -> DataFrame:
-    """now with near (weight to the own community), wants (a better one exists) and next (the community after this round)."""
-    sums = now.groupBy("grp").agg(F.sum("k").alias("s")).withColumnRenamed("grp", "to")
-    own = now.select("asn", F.col("grp").alias("to"), F.lit(0).cast("bigint").alias("w"))
-    votes = links.join(now.select(F.col("asn").alias("b"), F.col("grp").alias("to")), "b").select(F.col("a").alias("asn"), "to", "w").unionByName(own)
-    votes = votes.groupBy("asn", "to").agg(F.sum("w").alias("w")).join(sums, "to").join(now, "asn")
-    here = F.col("to") == F.col("grp")
-    gain = F.col("w") - F.col("k") * (F.col("s") - F.when(here, F.col("k")).otherwise(0)) / F.lit(float(total))
-    per = votes.withColumns({"gain": gain, "here": here}).groupBy("asn", "k", "loops", "grp").agg(
-        F.max(F.struct("gain", (-F.col("to")).alias("low"))).alias("top"), F.max(F.when(F.col("here"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("here"), F.col("w"))).alias("near"))
-    per = per.select("asn", "k", "loops", "grp", "near", (F.col("top.gain") - F.col("stay")).alias("more"), (-F.col("top.low")).alias("to")).withColumn("wants", F.col("more") > 1e-9)
-    bit = lambda c: F.shiftright(F.xxhash64(c), turn // 2 % 64).bitwiseAND(F.lit(1))
-    ready = F.col("wants") & (bit("grp") == turn % 2) & (bit("to") != turn % 2)  # two communities differ in some bit
-    per = cut(per.withColumn("ready", ready))
-    flow = lambda c: per.where("ready").groupBy(F.col(c).alias(f"{c}_")).agg(F.sum("k").alias(f"flow_{c}"))
-    into, out = flow("to"), flow("grp")
-    per = per.join(into, F.col("to") == F.col("to_"), "left").join(out, F.col("grp") == F.col("grp_"), "left")
-    others = F.greatest(F.col("flow_to") - F.col("k"), F.lit(0)) + F.greatest(F.col("flow_grp") - F.col("k"), F.lit(0))
-    slack = F.col("more") * total / F.greatest(F.col("k"), F.lit(1))  # how much strength may move before this gain is gone
-    drawn = F.pmod(F.xxhash64("asn", F.lit(turn)), F.lit(1 << 20)) < F.lit(chance * (1 << 20)) * F.least(F.lit(1.0), 2 * slack / F.greatest(others, F.lit(1)))
-    return per.select("asn", "k", "loops", "grp", "near", "wants", F.when(F.col("ready") & drawn, F.col("to")).otherwise(F.col("grp")).alias("next"))
+        now = _moved(now, k, i, to, more, total, chance, turn)
+        moved = int((now != kept).sum())
+
+
+def _moved(now: np.ndarray, k: np.ndarray, i: np.ndarray, to: np.ndarray, more: np.ndarray, total: int, chance: float, turn: int) -> np.ndarray:
+    """The communities after a round in which some of the nodes i, which gain `more` by a move, are moved."""
+    bit = lambda c: (_hash(c) >> np.uint64(turn // 2 % 64) & np.uint64(1)).astype(int)
+    ready = (bit(now[i]) == turn % 2) & (bit(to) != turn % 2)  # two communities differ in some bit
+    i, to, more = i[ready], to[ready], more[ready]
+    into, out = np.bincount(to, k[i], len(k)), np.bincount(now[i], k[i], len(k))
+    others = np.maximum(into[to] - k[i], 0) + np.maximum(out[now[i]] - k[i], 0)
+    slack = more * total / np.maximum(k[i], 1)  # how much strength may move before this gain is gone
+    drawn = _hash(i, turn) % np.uint64(1 << 20) < chance * (1 << 20) * np.minimum(1, 2 * slack / np.maximum(others, 1))
+    new = now.copy()
+    new[i[drawn]] = to[drawn]
+    return new
 
 
 def find_communities(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:

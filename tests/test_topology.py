@@ -5,6 +5,8 @@ import math
 import random
 from collections import deque
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +305,26 @@ def test_modularity_communities(spark):
     assert {r.asn: r.grp for r in ranked.collect()} == {x: "g02" if x < 3 else "g01" for x in range(7)}
     empty = graph.modularity_communities(spark.createDataFrame([(1,)], "asn bigint"), spark.createDataFrame([], "a bigint, b bigint")).collect()
     assert [tuple(r) for r in empty] == [(1, 1)]
+
+
+def test_modularity_communities_in_few_jobs(spark):
+    """Rounds of a small level run without Spark; a level worked off by Spark gives the same."""
+    rng = random.Random(7)
+    es = sorted({tuple(sorted(rng.sample(range(c * 40, c * 40 + 40), 2))) for c in range(10) for _ in range(150)} | {tuple(sorted(rng.sample(range(400), 2))) for _ in range(200)})
+    n, e = spark.createDataFrame([(x,) for x in range(400)], "asn bigint"), spark.createDataFrame(es, "a bigint, b bigint")
+    sc = spark.sparkContext
+    sc.setJobGroup("few jobs", "communities")
+    got = {r.asn: r.grp for r in graph.modularity_communities(n, e).collect()}
+    assert len(sc.statusTracker().getJobIdsForGroup("few jobs")) <= 12
+    sc.setJobGroup("other", "other")
+    assert quality(es, got) >= quality(es, one_by_one(es)) - 0.02
+    assert {r.asn: r.grp for r in graph.modularity_communities(n, e, fit=0).collect()} == got
+
+
+def test_packed_links(monkeypatch):
+    monkeypatch.setattr(graph, "PACK", 5)
+    links = [(a, b, 1) for a in range(20) for b in range(a % 7 + 1)] + [(20, b % 11, 1) for b in range(30)] + [(21, 1, 1), (99, 1, 1)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links[i : i + 4], strict=True)], ["a", "b", "w"]) for i in range(0, len(links), 4)]
+    rows = [graph._unpacked(r) for p in graph._packing(np.arange(22))(parts) for r in p.to_pylist()]
+    assert [(a, b) for r in rows for a, b in zip(*(x.tolist() for x in r[:2]), strict=True)] == sorted({x[:2] for x in links if x[0] < 99})
+    assert len(rows) > 5 and all(x[0][-1] < y[0][0] for x, y in zip(rows, rows[1:], strict=False))
