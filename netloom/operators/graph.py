@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.topology import rank_groups
-from netloom.session import cut
+from netloom.session import cut, ship
 
 ROUNDS = 200
 PACK, FIT = 1 << 20, 1 << 21  # links of a packed row; of a level that is worked off without Spark
@@ -184,6 +184,7 @@ def modularity_communities(nodes: DataFrame, edges: DataFrame, least: float = 1e
     them to the tasks, which answer with the nodes that want to move. A level of at most `fit` links is worked off without
     Spark. The result does not depend on `fit` or on how links are dealt.
     """
+    ship(nodes.sparkSession)
     kind = nodes.schema["asn"].dataType.simpleString()
     own = cut(nodes.where("asn IS NOT NULL").select(F.col("asn").cast("bigint").alias("asn")).distinct())
     ids = np.sort(own.toArrow().column(0).to_numpy())
