@@ -12,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session does not set them. Spark's own 64 MB are held by
+#: each task's worker, and several times outside the JVM's heap, since buffers double as they grow.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Hand this package to the Python workers once per application, through Spark's own file server."""
+    """Hand this package to the Python workers once per application, through Spark's own file server; bound their batches."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         here = Path(__file__).resolve().parent

@@ -5,7 +5,9 @@ import hashlib
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netloom.llm import op01_simhash as o1
@@ -18,6 +20,7 @@ from netloom.llm import op07_pii as o7
 from netloom.llm import op08_toxicity as o8
 from netloom.llm import op09_html_extract as o9
 from netloom.llm import op10_line_dedup as o10
+from netloom.session import BATCH, ship
 from tests.llm.data import IDS, TEXTS, docs, empty
 
 ROWS = len(IDS) + 2
@@ -164,3 +167,16 @@ def test_stages(spark, tmp_path, rows):
     assert {r.doc_id for r in df.collect()} >= ({0, 4, 7, 8, 9, 10, 11} if rows is docs else set())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert (out.count() > 0) == (rows is docs)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    ship(spark)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 8 << 20
+    spark.conf.set(BATCH[0], "1000000")
+    assert ship(spark).conf.get(BATCH[0]) == "1000000"  # a session's own bound stays
+    spark.conf.set(*BATCH)
